@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from vecloom.llm.decontaminate import op6_decontamination
+from vecloom.llm.near_dup import op8_near_dup_join
 from vecloom.llm.packing import op5_packing
+from vecloom.llm.quality_cnn import op4_quality_classifier
+from vecloom.llm.quality_rules import op3_quality_rules
 from vecloom.llm.sharding import op7_sharding
 from vecloom.llm.token_counts import op2_token_counts
 from vecloom.llm.token_output import op9_token_output
+from vecloom.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_packing, op7_sharding, op9_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_quality_classifier, op5_packing, op6_decontamination, op7_sharding, op8_near_dup_join, op9_token_output)
+}
 ORACLE_SQL: dict[str, str] = {}
