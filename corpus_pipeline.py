@@ -1,19 +1,46 @@
-"""Documents through the stages of a training-data pipeline."""
+"""From documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vecloom.llm.common import documents, fresh_path
+from vecloom.llm.decontaminate import keep_clean
+from vecloom.llm.near_dup import keep_one
 from vecloom.llm.packing import pack_documents
+from vecloom.llm.pii import redact
+from vecloom.llm.quality_rules import keep_good
 from vecloom.llm.tokens import tokenizer_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules reject, or that fail the base rules, go."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or near-equal texts stays, that with the least doc_id."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; n_chars follows."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as ids in sequences of at most 2048."""
     return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+
+#: Weights of rules, signatures, alignments, boosted trees and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from vecloom.llm.decontaminate import op6_decontamination
 from vecloom.llm.near_dup import op8_near_dup_join
 from vecloom.llm.packing import op5_packing
+from vecloom.llm.pii import op10_pii
 from vecloom.llm.quality_cnn import op4_quality_classifier
 from vecloom.llm.quality_rules import op3_quality_rules
 from vecloom.llm.sharding import op7_sharding
@@ -14,6 +15,6 @@ from vecloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_quality_classifier, op5_packing, op6_decontamination, op7_sharding, op8_near_dup_join, op9_token_output)
+    for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_quality_classifier, op5_packing, op6_decontamination, op7_sharding, op8_near_dup_join, op9_token_output, op10_pii)
 }
 ORACLE_SQL: dict[str, str] = {}
