@@ -1,7 +1,7 @@
 """Byte-level BPE encoding in Arrow batches.
 
-Texts are cut before each run of white space, where the tokenizer's own splitting always has a boundary, so a
-chunk encodes alike wherever it stands. Each worker remembers the ids of chunks that it has seen and gives only
+Texts are cut before runs of white space and between letters and punctuation, where the tokenizer's own splitting
+always has a boundary, so a chunk encodes alike wherever it stands. Each worker remembers the ids of chunks that it has seen and gives only
 new ones to the tokenizers library.
 """
 
@@ -15,7 +15,10 @@ from vecloom.llm.common import cache
 
 #: White_Space of Unicode, without the information separators that Python's white-space class has besides.
 _W = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = rf"\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+"
+#: Letters in any Unicode version. ASCII punctuation but the apostrophe never joins the letters before it.
+_A = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_P = r"!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~" + '"'
+_CHUNK = rf" ?[{_A}]++(?![^{_W}{_P}])|\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+"
 #: Chunks that a worker remembers, about 200 bytes each.
 REMEMBERED = 1_000_000
 
