@@ -20,6 +20,25 @@ def l2(a, b):
     return d.clip(0)
 
 
+def within_edge(d, n: int):
+    """(rows, columns) of the values that aren't above the n-th least of their row: n a row or, at ties, more."""
+    import numpy as np
+
+    if n >= d.shape[1]:
+        return np.repeat(np.arange(d.shape[0]), d.shape[1]), np.tile(np.arange(d.shape[1]), d.shape[0])
+    return np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])
+
+
+def first_of_each(key, n: int):
+    """Places of the first n of each run of equal keys, for sorted keys."""
+    import numpy as np
+
+    if not len(key):
+        return np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return np.flatnonzero(np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key)))) < n)
+
+
 def smallest(d, n: int):
     """(places, values) of the n least of each row, in order of value and then place."""
     import numpy as np
@@ -28,17 +47,11 @@ def smallest(d, n: int):
     if n == 1:
         at = d.argmin(1)[:, None]
         return at, np.take_along_axis(d, at, 1)
-    if n < d.shape[1]:
-        edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-        # Places below the edge, then those at the edge by place: equal values go to the lowest place.
-        key = np.where(d < edge, 0, np.where(d == edge, 1, 2))
-        at = np.argsort(key, axis=1, kind="stable")[:, :n]
-    else:
-        at = np.broadcast_to(np.arange(n), d.shape)
-    at = np.sort(at, axis=1)
-    value = np.take_along_axis(d, at, 1)
-    order = np.argsort(value, axis=1, kind="stable")
-    return np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
+    row, at = within_edge(d, n)
+    value = d[row, at]
+    order = np.lexsort((at, value, row))
+    order = order[first_of_each(row[order], n)]
+    return at[order].reshape(-1, n), value[order].reshape(-1, n)
 
 
 def encode(r, codebook):
@@ -59,30 +72,33 @@ def lut(r, codebook, metric: str = "l2"):
 
 
 class TopK:
-    """The k best (score, id) of each query, over batches. Scores are least first."""
+    """The k best (score, id) of each query, over blocks of scores. Scores are least first."""
+
+    def __init__(self, k: int, most: int = 1 << 20):
+        self.k, self.most, self.parts, self.size = k, most, [], 0
 
-    def __init__(self, k: int):
-        self.k, self.best = k, {}
+    def add(self, queries, scores, ids) -> None:
+        """scores: a row for each of queries, a column for each of ids."""
+        row, at = within_edge(scores, self.k)
+        self.parts.append((queries[row], scores[row, at], ids[at]))
+        self.size += len(row)
+        if self.size > self.most:
+            self._cut()
+            self.most = max(self.most, 2 * self.size)
 
-    def add(self, query: int, score, ident) -> None:
+    def _cut(self) -> None:
         import numpy as np
 
-        if len(score) > self.k:
-            edge = np.partition(score, self.k - 1)[self.k - 1]
-            if (have := self.best.get(query)) is not None and len(have[0]) == self.k:
-                edge = min(edge, have[0][-1])
-            on = score <= edge
-            score, ident = score[on], ident[on]
-        if query in self.best:
-            score, ident = np.concatenate([self.best[query][0], score]), np.concatenate([self.best[query][1], ident])
-        order = np.lexsort((ident, score))[: self.k]
-        self.best[query] = score[order], ident[order]
+        query, score, ident = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ident, score, query))
+        order = order[first_of_each(query[order], self.k)]
+        self.parts, self.size = [(query[order], score[order], ident[order])], len(order)
 
     def table(self):
         """(query, score, id) columns."""
         import numpy as np
 
-        if not self.best:
+        if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        n = [len(s) for s, _ in self.best.values()]
-        return np.repeat(np.array(list(self.best), np.int64), n), np.concatenate([s for s, _ in self.best.values()]), np.concatenate([i for _, i in self.best.values()])
+        self._cut()
+        return self.parts[0]

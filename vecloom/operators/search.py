@@ -14,6 +14,8 @@ from vecloom.session import BROADCAST_BYTES
 
 #: Queries that go out in one broadcast; more are searched in further passes and united.
 QUERY_BLOCK = 4096
+#: Rows that a task gathers by cluster before it scores them.
+SCAN_ROWS = 1 << 18
 
 
 def top_k(candidates: DataFrame, k: int, descending: bool = False, per: str = "qid") -> DataFrame:
@@ -63,9 +65,7 @@ def flat_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") ->
                 for s in range(0, whole.num_rows, step):
                     b = whole.slice(s, step)
                     ids, v = b.column(0).to_numpy(), kernels.matrix(b.column(1))
-                    d = np.rint(kernels.l2(q, v) if metric == "l2" else -(q @ v.T))
-                    for i, qid in enumerate(qids.tolist()):
-                        best.add(qid, d[i], ids)
+                    best.add(qids, np.rint(kernels.l2(q, v) if metric == "l2" else -(q @ v.T)), ids)
             qid, d, ids = best.table()
             yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
 
@@ -77,8 +77,9 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
     """Search of inverted lists: (cid, id, code) with a codebook, else (cid, id, v).
 
     The probes of a block of queries, grouped by cluster, are broadcast. A filter on the probed clusters reaches the
-    scan: partitions of other clusters aren't read. Lists pass through in Arrow batches; tables are made once for each
-    (query, cluster) that a task meets; each task keeps k per query; only these are shuffled. metric ip: dist is the
+    scan: partitions of other clusters aren't read. Lists pass through in Arrow batches, which a task sorts by cluster,
+    SCAN_ROWS at a time, so that tables are made once for all rows of a cluster; each task keeps k per query; only
+    these are shuffled. metric ip: dist is the
     product, greatest first.
     """
     import numpy as np
@@ -100,28 +101,41 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
             import pyarrow as pa
 
             qids, q, c, by, book = shared.value
-            best, last = kernels.TopK(k), (None, None)
-            for b in batches:
-                cid = b.column(0).to_numpy()
-                ids, x = b.column(1).to_numpy(), kernels.matrix(b.column(2), "int64" if book is not None else "float64")
-                for one in np.unique(cid).tolist():
-                    if one not in by:
+            best, kept, size = kernels.TopK(k), [], 0
+
+            def scan():
+                if not kept:
+                    return
+                cid, ids, x = (np.concatenate(y) for y in zip(*kept))
+                order = np.argsort(cid, kind="stable")
+                cid, ids, x = cid[order], ids[order], x[order]
+                edges = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1], [True]]))
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    if int(cid[lo]) not in by:
                         continue
-                    j, rows = by[one]
-                    on = np.flatnonzero(cid == one)
-                    if book is None:
-                        d = kernels.l2(q[rows], x[on]) if metric == "l2" else -(q[rows] @ x[on].T)
-                    else:
-                        if last[0] != one:
-                            r = q[rows] - c[j] if metric == "l2" and by_residual else q[rows]
-                            last = one, kernels.lut(r, book, metric)
-                        at = x[on] + np.arange(book.shape[0]) * book.shape[1]
-                        d = np.stack([t[at].sum(1) for t in last[1]])
-                        if metric == "ip":
-                            d = -(d + (q[rows] @ c[j])[:, None] * by_residual)
-                    d = np.rint(d)
-                    for i, row in enumerate(rows.tolist()):
-                        best.add(int(qids[row]), d[i], ids[on])
+                    j, rows = by[int(cid[lo])]
+                    if book is not None:
+                        table = kernels.lut(q[rows] - c[j] if metric == "l2" and by_residual else q[rows], book, metric)
+                    step = max(k + 1, CELLS // len(rows))
+                    for a in range(lo, hi, step):
+                        part = x[a : min(hi, a + step)]
+                        if book is None:
+                            d = kernels.l2(q[rows], part) if metric == "l2" else -(q[rows] @ part.T)
+                        else:
+                            d = np.zeros((len(rows), len(part)))
+                            for m in range(book.shape[0]):
+                                d += table[:, m * book.shape[1] + part[:, m]]
+                            if metric == "ip":
+                                d = -(d + (q[rows] @ c[j])[:, None] * by_residual)
+                        best.add(qids[rows], np.rint(d), ids[a : min(hi, a + step)])
+
+            for b in batches:
+                kept.append((b.column(0).to_numpy(), b.column(1).to_numpy(), kernels.matrix(b.column(2), "int64" if book is not None else "float64")))
+                size += b.num_rows
+                if size >= SCAN_ROWS:
+                    scan()
+                    kept, size = [], 0
+            scan()
             qid, d, ids = best.table()
             yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
 

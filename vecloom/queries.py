@@ -346,15 +346,20 @@ def trained_recall(p: Plan):
     return evaluate.overlap(got, search.flat_knn(p.base, p.queries, K), K)
 
 
-def lineitem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-dimensional vectors of all lineitem rows (quantity, price, discount and tax in whole units), IVF-flat with 64 rule
-    centroids and 8 probes; queries are the line 1 rows of the orders whose key is divisible by 20 and below 2000."""
+def lineitem_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity, price, discount and tax of all lineitem rows in whole units; the id is made of the row's four keys."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    whole = lambda c, s: F.floor(F.col(c) * s).cast("int")
-    v = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.array(whole("l_quantity", 100), whole("l_extendedprice", 0.1), whole("l_discount", 10_000), whole("l_tax", 10_000)).alias("v"))
-    queries = v.where("id % 8 = 1 AND id < 16000 AND (id div 8) % 20 = 0").select(F.col("id").alias("qid"), "v")
-    starts = v.where("id % 8 = 1 AND id <= 8 * 1000").select(F.row_number().over(W.orderBy("id")).alias("cid"), F.col("v").alias("c")).where("cid <= 64").withColumn("cid", F.col("cid").cast("bigint") - 1)
-    return add(v, IndexSpec(64), starts, None).search(queries, SearchParams(K, 8))
+    whole = lambda c, s: F.floor(F.col(c) * F.lit(s)).cast("int")
+    ident = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
+    return li.select(ident.alias("id"), F.array(whole("l_quantity", 100), whole("l_extendedprice", 0.1), whole("l_discount", 10_000), whole("l_tax", 10_000)).alias("v"))
+
+
+def lineitem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IVF-flat with 64 rule centroids and 8 probes over all lineitem rows; queries are the rows whose id is divisible by 20."""
+    v = lineitem_vectors(spark, sf_dir)
+    first = v.orderBy("id").limit(64)
+    starts = first.select((F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("cid"), F.col("v").alias("c"))
+    return add(v, IndexSpec(64), starts, None).search(query_set(v), SearchParams(K, 8))
 
 
 _ALL = (
@@ -458,10 +463,10 @@ def _whole(sql: str) -> str:
 
 ORACLE_SQL = {name: _whole(sql) for name, sql in _SQL.items()}
 ORACLE_SQL["lineitem_search"] = """
-WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS id, CAST(floor(l_quantity * 100) AS BIGINT) AS a, CAST(floor(l_extendedprice * CAST(0.1 AS DOUBLE)) AS BIGINT) AS b, CAST(floor(l_discount * 10000) AS BIGINT) AS c, CAST(floor(l_tax * 10000) AS BIGINT) AS d FROM lineitem),
-q AS (SELECT * FROM v WHERE id % 8 = 1 AND id < 16000 AND (id // 8) % 20 = 0),
-s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, a, b, c, d FROM v WHERE id % 8 = 1 AND id <= 8000 QUALIFY cid < 64),
-va AS (SELECT v.id, arg_min(cid, ((v.a-s.a)**2 + (v.b-s.b)**2 + (v.c-s.c)**2 + (v.d-s.d)**2) * 64 + cid) AS cid FROM v, s GROUP BY 1),
-qp AS (SELECT q.id AS qid, cid, row_number() OVER (PARTITION BY q.id ORDER BY (q.a-s.a)**2 + (q.b-s.b)**2 + (q.c-s.c)**2 + (q.d-s.d)**2, cid) AS n FROM q, s),
-f AS (SELECT qp.qid, v.id, CAST((q.a-v.a)**2 + (q.b-v.b)**2 + (q.c-v.c)**2 + (q.d-v.d)**2 AS BIGINT) AS dist FROM qp JOIN q ON q.id = qp.qid JOIN va USING (cid) JOIN v ON v.id = va.id WHERE n <= 8)
+WITH v AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS id, CAST(floor(l_quantity * 100) AS BIGINT) AS a, CAST(floor(l_extendedprice * CAST(0.1 AS DOUBLE)) AS BIGINT) AS b, CAST(floor(l_discount * 10000) AS BIGINT) AS c, CAST(floor(l_tax * 10000) AS BIGINT) AS d FROM lineitem),
+q AS (SELECT * FROM v WHERE id % 20 = 0),
+s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cid, a, b, c, d FROM (SELECT * FROM v ORDER BY id LIMIT 64)),
+va AS (SELECT v.id, arg_min(cid, ((v.a-s.a)*(v.a-s.a) + (v.b-s.b)*(v.b-s.b) + (v.c-s.c)*(v.c-s.c) + (v.d-s.d)*(v.d-s.d)) * 64 + cid) AS cid FROM v, s GROUP BY 1),
+qp AS (SELECT q.id AS qid, cid, row_number() OVER (PARTITION BY q.id ORDER BY (q.a-s.a)*(q.a-s.a) + (q.b-s.b)*(q.b-s.b) + (q.c-s.c)*(q.c-s.c) + (q.d-s.d)*(q.d-s.d), cid) AS n FROM q, s),
+f AS (SELECT qp.qid, v.id, CAST((q.a-v.a)*(q.a-v.a) + (q.b-v.b)*(q.b-v.b) + (q.c-v.c)*(q.c-v.c) + (q.d-v.d)*(q.d-v.d) AS BIGINT) AS dist FROM qp JOIN q ON q.id = qp.qid JOIN va USING (cid) JOIN v ON v.id = va.id WHERE n <= 8)
 SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM f) WHERE rank <= 10"""
