@@ -1,0 +1,15 @@
+import pytest
+from oracle import compare, connect
+
+from vecloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    assert compare(spark, SF, QUERIES[name], ORACLE_SQL[name], connect(SF))
+
+
+def test_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -146,16 +146,16 @@ def learn(sample: DataFrame, **options) -> dict:
 
 
 def score_quality(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the probability of label 1 for each whole text; a null or empty text is two blocks of padding.
+    """docs with the probability of label 1 for each whole text, to five places; a null or empty text is two blocks of padding.
 
-    Equal texts get equal scores; an empty table stays empty; the model is a few dozen kB, whatever the corpus.
+    Equal texts get equal scores up to that rounding, whatever texts are computed with them; an empty table stays empty; the model is a few dozen kB, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         import pyarrow as pa
 
-        return lambda texts: [pa.array(probabilities(shared.value, texts.cast(pa.binary()).to_pylist()), pa.float64())]
+        return lambda texts: [pa.array([round(p, 5) for p in probabilities(shared.value, texts.cast(pa.binary()).to_pylist())], pa.float64())]
 
     return append(docs, [(out, "double")], text, make)
 
