@@ -19,8 +19,8 @@ _W = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _A = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _P = r"!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~" + '"'
 _CHUNK = rf" ?[{_A}]++(?![^{_W}{_P}])|\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+"
-#: Chunks that a worker remembers, about 200 bytes each.
-REMEMBERED = 1_000_000
+#: Chunks of a generation that a worker remembers, about 200 bytes each; there are two generations.
+REMEMBERED = 300_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,19 +29,41 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable character for each byte in the vocabulary of byte-level tokenizers: itself, or the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in own else next(rest) for b in range(256)}
+
+
 class _Chunks(dict):
-    """Chunk to the bytes of its ids."""
+    """Chunk to the bytes of its ids. One of letters alone is a single piece for the model, without the steps before it.
+
+    A full generation becomes the older one, and the one before that is dropped; chunks that occur again move on.
+    """
 
     def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
+        self.encode, self.tokenize, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
+        self.plain, self.letters = re.compile(f" ?[{_A}]+").fullmatch, _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return ids
+        out = self.older.get(chunk)
+        if out is None:
+            if self.plain(chunk):
+                ids = [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.encode(chunk, add_special_tokens=False).ids
+            out = array("I", ids).tobytes()
+        self[chunk] = out
+        return out
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
 
 class Encoder:
-    """Encodes texts as unsigned little-endian 32-bit ids. remembered: chunks kept at most, then all are dropped."""
+    """Encodes texts as unsigned little-endian 32-bit ids. remembered: chunks of a generation."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +76,7 @@ class Encoder:
         if not text:
             return b""
         if len(self.chunks) > self.remembered:
-            self.chunks.clear()
+            self.chunks.turn()
         return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
 
 
