@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: 1000 rows where the session has Spark's default of 10,000, so that long texts fit in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def cache(name: str, make):
     """A value made once in a worker process. Functions travel by value, so module globals do not last over tasks."""
     store = sys.__dict__.setdefault("_vecloom_cache", {})
@@ -87,6 +94,7 @@ def append(df: DataFrame, fields: list[tuple[str, str]], column: str, make) -> D
     make() runs once a task and gives a function from that column's Arrow array to the new columns' arrays.
     fields: (name, Spark type) of the new columns; columns of df with these names, in any case, are replaced.
     """
+    small_batches(df.sparkSession)
     new = {name.lower() for name, _ in fields}
     clash = [c for c in df.columns if c.lower() in new and c != column]
     names = [c for c in df.columns if c not in clash]

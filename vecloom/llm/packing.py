@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import documents
+from vecloom.llm.common import documents, small_batches
 from vecloom.llm.tokens import encoder, tokenizer_path
 
 #: Documents whose pieces one task packs. Their number, not the data's size, sets a task's memory (about 20 MB).
@@ -14,6 +14,7 @@ GROUP = 100_000
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Documents as ids plus end_id, cut every `capacity` ids: doc_id, start, length, ids_crc32, doc_tokens, and ids (binary, unsigned 32-bit) with keep_ids."""
+    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
 
     def run(batches):

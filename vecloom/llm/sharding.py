@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import documents, unused
+from vecloom.llm.common import documents, small_batches, unused
 
 #: Documents of a cell, the part of a shard that one task permutes.
 CELL_ROWS = 16_384
@@ -77,6 +77,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 17, cell_rows:
     Nulls, ties and repeated rows are rows as any other; an empty df stays empty. Columns named as the new ones are
     replaced.
     """
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
     df = df.select(*(F.col(f"`{c}`") for c in names))
     counts = {r[0]: r[1] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}  # one row a partition

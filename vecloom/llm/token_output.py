@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import documents, fresh_path
+from vecloom.llm.common import documents, fresh_path, small_batches
 from vecloom.llm.tokens import encoder, tokenizer_path
 
 #: Documents of a file, about.
@@ -32,6 +32,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int = 0, doc_id: s
     An empty table gives files without rows. Stripes can be read in parallel; a reader that looks for a document
     skips files and stripes by their doc_id ranges and Bloom filters.
     """
+    small_batches(docs.sparkSession)
     df = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     files = max(1, -(-docs.select(doc_id).count() // file_rows))
     kind = df.schema["doc_id"].dataType.simpleString()
