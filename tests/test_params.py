@@ -8,6 +8,7 @@ def test_specs():
     assert parse_index("IVF4096,PQ16") == IndexSpec(4096, 16) and parse_index("IVF4096,PQ16").kind == "ivf_pq"
     assert parse_index("IVF64, Flat").kind == "ivf_flat"
     assert parse_index("PQ32x4", "ip") == IndexSpec(0, 32, 4, "ip") and parse_index("PQ32").ksub == 256
+    assert parse_index("IVF10,PQ4").precomputed_terms == 10 * 4 * 256
 
 
 @pytest.mark.parametrize("spec", ["IMI2x8,PQ16", "OPQ16_64,IVF10,PQ16", "PCA80,Flat", "IVF10,PQ8+16"])

@@ -171,6 +171,17 @@ def test_operating_points(spark):
     assert evaluate.first_acceptable(m, 0.6).first()["n"] == 3
 
 
+def test_explore(spark, blobs):
+    v, q = blobs
+    base, queries = frame(spark, v[:600]), frame(spark, q[:20], "qid")
+    centroids = frame(spark, v[:8]).select(F.col("id").alias("cid"), F.col("v").alias("c"))
+    truth = search.flat_knn(base, queries, 1).select("qid", "id")
+    grid = evaluate.explore(add(base, IndexSpec(8), centroids, None), queries, truth, (1, 8), (1,))
+    rows = {r["nprobe"]: r for r in grid.collect()}
+    assert rows[8]["recall"] == 1.0 and rows[8]["cost"] == 600 * 20 > rows[1]["cost"]
+    assert {r["nprobe"] for r in evaluate.operating_points(grid).collect()} <= {1, 8}
+
+
 def test_stream(spark, tmp_path, blobs):
     from vecloom.streaming.serve import serve
 

@@ -25,6 +25,31 @@ def overlap(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return want.join(got, ["qid", "id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+def explore(index, queries: DataFrame, truth: DataFrame, nprobes=(1, 2, 4, 8, 16, 32, 64, 128, 256), ks=(1,), repeats: int = 1) -> DataFrame:
+    """One row for each setting of the grid: (nprobe, k, recall, cost, seconds).
+
+    recall: 1-recall@k against truth (qid, id). cost: list rows that the probes meet, which doesn't depend on the
+    machine; seconds: mean of `repeats` runs. Settings are run in turn: a grid is a few dozen, each a full search.
+    """
+    import time
+
+    from vecloom.operators.coarse import probe
+    from vecloom.params import SearchParams
+
+    sizes = index.lists.groupBy("cid").agg(F.count("*").alias("n")).collect()  # one row a cluster
+    n = {r["cid"]: r["n"] for r in sizes}
+    met = probe(queries, index.centroids, max(nprobes), "qid", keep=False).groupBy("cid", "rank").count().collect()
+    rows = []
+    for nprobe in nprobes:
+        cost = sum(r["count"] * n.get(r["cid"], 0) for r in met if r["rank"] <= nprobe)
+        for k in ks:
+            start = time.time()
+            for _ in range(repeats):
+                recall = recall_at(index.search(queries, SearchParams(k, nprobe)), truth, (k,)).first()[1]
+            rows.append((nprobe, k, recall, cost, (time.time() - start) / repeats))
+    return queries.sparkSession.createDataFrame(rows, "nprobe bigint, k bigint, recall double, cost bigint, seconds double")
+
+
 def operating_points(measured: DataFrame, cost: str = "cost", gain: str = "recall") -> DataFrame:
     """Rows that no other row beats: cheaper ones all gain less. One row per setting of a parameter grid."""
     before = F.max(gain).over(W.orderBy(cost, F.desc(gain)).rowsBetween(W.unboundedPreceding, -1))

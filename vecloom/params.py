@@ -19,6 +19,11 @@ class IndexSpec:
     def ksub(self) -> int:
         return 1 << self.nbits
 
+    @property
+    def precomputed_terms(self) -> int:
+        """Entries of a table of all clusters' terms for all words, were it made in advance. Searches make the probed ones only."""
+        return self.nlist * self.m * self.ksub
+
     @property
     def kind(self) -> str:
         return ("ivf_" if self.nlist else "") + ("pq" if self.m else "flat")
