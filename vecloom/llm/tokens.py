@@ -20,7 +20,7 @@ _A = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _P = r"!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~" + '"'
 _CHUNK = rf" ?[{_A}]++(?![^{_W}{_P}])|\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+"
 #: Chunks of a generation that a worker remembers, about 200 bytes each; there are two generations.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,11 +45,14 @@ class _Chunks(dict):
     def __init__(self, tokenizer):
         self.encode, self.tokenize, self.older = tokenizer.encode, tokenizer.model.tokenize, {}
         self.plain, self.letters = re.compile(f" ?[{_A}]+").fullmatch, _byte_letters()
+        self.space = chr(self.letters[32])
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:
-            if self.plain(chunk):
+            if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                ids = [t.id for t in self.tokenize(self.space + chunk[1:] if chunk[0] == " " else chunk)]
+            elif self.plain(chunk):
                 ids = [t.id for t in self.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
             else:
                 ids = self.encode(chunk, add_special_tokens=False).ids
