@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import append, documents, unused
 
-Q = 8
+Q = 7
 #: Edits allowed for each character of a passage.
-RATE = 0.06
+RATE = 0.08
 #: Characters of benchmark passages that are broadcast at once; more go in further passes over the documents.
 BLOCK_CHARS = 1 << 20
 #: Characters of text that are looked at together; longer texts are cut in parts that overlap by the longest passage.
@@ -171,12 +171,17 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
     if not len(item):
         return
     n, bound, width = len(index.items), np.array(index.bound), np.array(index.edits) + 1
-    # Texts with fewer shared q-grams in all than the bound asks of one band are out.
+    # A place of a passage lies in two neighbouring windows of the text. Windows where these two share fewer q-grams
+    # with it in all than the bound asks of one band are out.
+    window = 1 << int(index.margin).bit_length()
+    bins = (p // window) * n + item
+    count = np.bincount(bins, minlength=(len(whole) // window + 2) * n).reshape(-1, n)
+    near = np.zeros_like(count)
+    near[1:] = count[:-1]
+    near[:-1] = np.maximum(near[:-1], count[1:])
     part = np.searchsorted(starts, p, side="right") - 1
-    pair = part * n + item
-    enough = np.bincount(pair, minlength=len(group) * n) >= np.tile(bound, len(group))
-    on = enough[pair]
-    item, diagonal, pair = item[on], diagonal[on] - starts[part[on]] + index.margin, pair[on]
+    on = ((count + near) >= bound).ravel()[bins]
+    item, diagonal, pair = item[on], diagonal[on] - starts[part[on]] + index.margin, (part * n + item)[on]
     # Bands of 2 * width diagonals start at each multiple of width: those of any alignment within the budget lie in one.
     band = diagonal // width[item]
     slots = int(band.max(initial=0)) + 2
