@@ -165,8 +165,17 @@ def test_shuffle_is_uniform(spark):
 
 
 def test_matrix_sums_and_large_counts():
-    m = sharding.communication_matrix([5, 0, 12, 3], [4, 4, 4, 4, 4], 1)
-    assert m.sum(1).tolist() == [5, 0, 12, 3] and m.sum(0).tolist() == [4] * 5
+    for rows in ([5, 0, 12, 3], [20], [1] * 20):
+        m = sharding.Matrix(rows, [4, 4, 4, 4, 4], 1)
+        got = [m.row(p) for p in range(len(rows))]
+        assert [int(r.sum()) for r, _ in got] == rows and sum(r for r, _ in got).tolist() == [4] * 5
+        for p, (_, before) in enumerate(got):
+            assert before.tolist() == [sum(int(r[c]) for r, _ in got[:p]) for c in range(5)]
+    draws = np.array([sharding.Matrix([30, 30], [20, 40], s).row(0)[0][0] for s in range(600)])
+    assert abs(draws.mean() - 10) < 0.4 and abs(draws.var() - 30 * 20 / 60 * 40 / 60 * 30 / 59) < 0.7
+    big = sharding.Matrix([10**9, 10**9, 5], [10**9, 10**9 + 5], 3)
+    rows = [big.row(p)[0] for p in range(3)]
+    assert sum(rows).tolist() == [10**9, 10**9 + 5] and [int(r.sum()) for r in rows] == [10**9, 10**9, 5] and big.large
     rng, n = np.random.default_rng(2), 10**9
     x = np.array([sharding.hypergeometric(n, 3 * n, 10_000, rng) for _ in range(400)])
     assert abs(x.mean() - 2500) < 10 and 35 < x.std() < 52

@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = spark.read.parquet(at)
     copies = signed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     # Buckets with two different texts at least, and the ties of their texts to the least one.
-    keys = signed.select("h1", F.posexplode("keys").alias("tree", "key"))
+    # Copies are one row from here on, dropped before the exchange.
+    keys = signed.groupBy("h1").agg(F.first("keys").alias("keys")).select("h1", F.posexplode("keys").alias("tree", "key"))
     buckets = keys.groupBy("tree", "key").agg(F.min("h1").alias("b"), F.max("h1").alias("top")).where("b < top").drop("top")
     ties = keys.join(buckets, ["tree", "key"]).select(F.col("h1").alias("a"), "b")
     groups = connected(ties)

@@ -11,6 +11,8 @@ from vecloom.llm.common import documents, small_batches, unused
 
 #: Documents of a cell, the part of a shard that one task permutes.
 CELL_ROWS = 16_384
+#: Cells of all shards together, at most; beyond that they grow with the rows.
+MOST_CELLS = 8192
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng) -> int:
@@ -38,44 +40,73 @@ def hypergeometric(good: int, bad: int, draws: int, rng) -> int:
     return mode
 
 
-def communication_matrix(rows: list[int], sizes: list[int], seed: int):
-    """Rows that each partition sends to each cell, drawn as a uniform permutation of all rows would deal them.
+def _split(cells, draws: int, rng):
+    """How many of `draws` rows, drawn from the cells' rows without replacement, each cell gives."""
+    import numpy as np
+
+    if int(cells.sum()) < 10**9:
+        return rng.multivariate_hypergeometric(cells, draws, method="marginals") if draws else np.zeros_like(cells)
+    out, left = np.zeros_like(cells), int(cells.sum())
+    for i, n in enumerate(cells.tolist()):
+        left -= n
+        out[i] = hypergeometric(n, left, draws, rng)
+        draws -= int(out[i])
+    return out
+
 
-    Row sums are the partitions' counts and column sums the cells' sizes, exactly. Both lists are halved in turn: a
-    single hypergeometric draw tells how many rows of one half of the partitions go to one half of the cells.
+class Matrix:
+    """The communication matrix, row by row: rows of each partition that go to each cell, as a uniform permutation deals them.
+
+    Row sums are the partitions' counts and column sums the cells' sizes, exactly. The partitions are halved in turn,
+    as in a tree; at each node one multivariate hypergeometric draw tells what of each cell comes from the left half.
+    A node's draw depends on the seed and the node alone, so any task finds its own row in as many draws as the tree
+    is high, and no one holds the whole matrix. Draws for nodes of 1e9 rows and more are slow, and few: the driver
+    makes them once.
     """
-    import numpy as np
 
-    assert sum(rows) == sum(sizes)
-    rng, left = np.random.default_rng(seed), np.array(sizes, np.int64)
-    out = np.zeros((len(rows), len(sizes)), np.int64)
-    for p, n in enumerate(rows):
-        todo = [(0, len(sizes), n)]
+    def __init__(self, rows: list[int], cells: list[int], seed: int):
+        import numpy as np
+
+        assert sum(rows) == sum(cells)
+        self.seed, self.cells, self.large = seed, np.array(cells, np.int64), {}
+        self.upto = np.concatenate([[0], np.cumsum(np.array(rows, np.int64))])
+        todo = [(0, len(rows), self.cells)]
         while todo:
-            a, b, k = todo.pop()
-            if not k:
-                continue
-            if b - a == 1:
-                out[p, a] = k
-                left[a] -= k
-                continue
-            m = (a + b) // 2
-            one, two = int(left[a:m].sum()), int(left[m:b].sum())
-            x = hypergeometric(one, two, k, rng)
-            todo += [(m, b, k - x), (a, m, x)]
-    return out
+            a, b, v = todo.pop()
+            if b - a > 1 and int(v.sum()) >= 10**9:
+                m = (a + b) // 2
+                self.large[(a, b)] = left = self._left(a, b, v)
+                todo += [(a, m, left), (m, b, v - left)]
+
+    def _left(self, a: int, b: int, v):
+        import numpy as np
+
+        if (a, b) in self.large:
+            return self.large[(a, b)]
+        return _split(v, int(self.upto[(a + b) // 2] - self.upto[a]), np.random.default_rng([self.seed, 0, a, b]))
+
+    def row(self, p: int):
+        """(rows of partition p for each cell, rows of all partitions before it for each cell)."""
+        a, b, v, before = 0, len(self.upto) - 1, self.cells, self.cells * 0
+        while b - a > 1:
+            m, left = (a + b) // 2, self._left(a, b, v)
+            if p < m:
+                b, v = m, left
+            else:
+                a, v, before = m, v - left, before + left
+        return v, before
 
 
 def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 17, cell_rows: int = CELL_ROWS, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """All rows of df with shard (0 to shards - 1) and slot (gapless from 0 there), uniformly shuffled, in slot order within tasks.
 
-    Shards' row counts differ by one at most. A shard is made of cells of about cell_rows rows, each permuted by one
-    task. A first job counts the rows of each partition; the matrix of exact counts from partitions to cells is drawn
-    on the driver (partitions times cells numbers); partitions permute their rows and deal them out; cells permute
-    again. Draws depend on the seed and the partition's or cell's number only, so a task that runs again sends the
-    same rows. df must give the same partitions whenever it is computed, as a scan of files or a checkpoint does.
-    Nulls, ties and repeated rows are rows as any other; an empty df stays empty. Columns named as the new ones are
-    replaced.
+    Shards' row counts differ by one at most. A shard is made of cells of about cell_rows rows (more where there would
+    be over MOST_CELLS), each permuted by one task, which holds a number for each row but not the rows. A first job
+    counts the rows of each partition; these counts are broadcast, and each task draws its row of the matrix of exact
+    counts from partitions to cells. Partitions permute their rows and deal them out; cells permute again. Draws depend
+    on the seed and the partition's or cell's number only, so a task that runs again sends the same rows. df must give
+    the same partitions whenever it is computed, as a scan of files or a checkpoint does. Nulls, ties and repeated rows
+    are rows as any other; an empty df stays empty. Columns named as the new ones are replaced.
     """
     small_batches(df.sparkSession)
     names = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
@@ -85,13 +116,12 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 17, cell_rows:
     per = [total // shards + (s < total % shards) for s in range(shards)]
     cells: list[tuple[int, int, int]] = []  # shard, first slot, size
     for s, n in enumerate(per):
-        k = max(1, -(-n // cell_rows))
+        k = min(max(1, -(-n // cell_rows)), max(1, MOST_CELLS // shards))
         for i in range(k):
             cells.append((s, n * i // k, n * (i + 1) // k - n * i // k))
     parts = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in parts], [c[2] for c in cells], seed)
-    before = matrix.cumsum(0) - matrix  # rows that earlier partitions send to the cell
-    plan = df.sparkSession.sparkContext.broadcast({p: (matrix[i], before[i]) for i, p in enumerate(parts)})
+    place = {p: i for i, p in enumerate(parts)}
+    plan = df.sparkSession.sparkContext.broadcast((place, Matrix([counts[p] for p in parts], [c[2] for c in cells], seed)))
     cell, index = unused(df, "cell"), unused(df, "row_in_cell")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -101,16 +131,17 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 17, cell_rows:
         from pyspark import TaskContext
 
         p, at = TaskContext.get().partitionId(), 0
-        if p not in plan.value:
+        place, matrix = plan.value
+        if p not in place:
             return
-        send, start = plan.value[p]
+        send, start = matrix.row(place[p])
         order = np.random.default_rng([seed, 1, p]).permutation(int(send.sum()))
         ends = send.cumsum()
         for b in batches:
-            place = order[at : at + b.num_rows]
+            spot = order[at : at + b.num_rows]
             at += b.num_rows
-            to = np.searchsorted(ends, place, side="right")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to.astype(np.int32)), pa.array(place - (ends - send)[to] + start[to])], [*names, cell, index])
+            to = np.searchsorted(ends, spot, side="right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to.astype(np.int32)), pa.array(spot - (ends - send)[to] + start[to])], [*names, cell, index])
 
     def settle(batches):
         import numpy as np

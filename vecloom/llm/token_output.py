@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import documents, fresh_path, small_batches
 from vecloom.llm.tokens import encoder, tokenizer_path
 
-#: Documents of a file, about.
+#: Documents of a file, about; more where there would be over MOST_FILES.
 FILE_ROWS = 16_384
+MOST_FILES = 20_000
 ORC = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -34,7 +35,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int = 0, doc_id: s
     """
     small_batches(docs.sparkSession)
     df = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    files = max(1, -(-docs.select(doc_id).count() // file_rows))
+    files = min(MOST_FILES, max(1, -(-docs.select(doc_id).count() // file_rows)))
     kind = df.schema["doc_id"].dataType.simpleString()
     df = df.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
