@@ -321,37 +321,40 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans", model: t
     return append(docs, [(out, SPANS)], text, make)
 
 
+def redacted(text: str, spans: list[tuple]) -> str:
+    """text with each span replaced by its kind in brackets, as [EMAIL]; overlapping spans are one, of the first one's kind."""
+    parts, at = [], 0
+    for kind, a, b, *_ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            parts += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(parts) + text[at:]
+
+
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", model: tuple | None = None) -> DataFrame:
-    """docs with each span replaced by its kind in brackets, as [EMAIL]; overlapping spans are one, of the first one's kind.
+    """docs with redacted texts, in one pass.
 
     Where docs has the column `length`, it gets the new number of characters of the texts that change; the other columns and their order stay.
     """
-    spans = unused(docs, "spans")
-    df = with_spans(docs, text, spans, model)
+    shared, new, some = docs.sparkSession.sparkContext.broadcast(model or fit()), unused(docs, "redacted"), unused(docs, "n_spans")
 
-    @F.pandas_udf("string")
-    def cut(texts, found):
-        import pandas as pd
+    def make():
+        import pyarrow as pa
 
-        def one(t, s):
-            parts, at = [], 0
-            for x in sorted(s, key=lambda x: (x["start"], -x["end"])):
-                if x["start"] >= at:
-                    parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
-                at = max(at, x["end"])
-            return "".join(parts) + t[at:]
+        def apply(texts):
+            data = texts.to_pylist()
+            spans = find([t and t.encode("utf-8", "surrogatepass") for t in data], *shared.value)
+            return [pa.array([redacted(t, s) if s else t for t, s in zip(data, spans)], pa.string()), pa.array([len(s) for s in spans], pa.int32())]
 
-        return pd.Series([one(t, s) for t, s in zip(texts, found)], dtype=object)
+        return apply
 
-    new, some = unused(df, "redacted"), F.size(spans) > 0
-    df = df.withColumn(new, F.when(some, cut(F.when(some, F.col(f"`{text}`")).otherwise(""), F.col(spans))).otherwise(F.col(f"`{text}`")))
-    kinds = dict(docs.dtypes)
+    df, kinds = append(docs, [(new, "string"), (some, "int")], text, make), dict(docs.dtypes)
 
     def column(c: str):
         if c == text:
             return F.col(new).alias(c)
         if c == length:
-            return F.when(some, F.length(new)).otherwise(F.col(f"`{c}`")).cast(kinds[c]).alias(c)
+            return F.when(F.col(some) > 0, F.length(new)).otherwise(F.col(f"`{c}`")).cast(kinds[c]).alias(c)
         return F.col(f"`{c}`")
 
     return df.select(*(column(c) for c in docs.columns))
