@@ -15,9 +15,12 @@ def matrix(column, dtype="float64"):
 
 
 def l2(a, b):
-    """All squared distances between rows of a and of b."""
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return d.clip(0)
+    """All squared distances between rows of a and of b, in one product: (-2a, |a|^2, 1) with (b, 1, |b|^2)."""
+    import numpy as np
+
+    one = lambda x: np.ones((len(x), 1))
+    square = lambda x: (x * x).sum(1)[:, None]
+    return np.concatenate([-2.0 * a, square(a), one(a)], 1) @ np.concatenate([b, one(b), square(b)], 1).T
 
 
 def within_edge(d, n: int):
@@ -72,14 +75,24 @@ def lut(r, codebook, metric: str = "l2"):
 
 
 class TopK:
-    """The k best (score, id) of each query, over blocks of scores. Scores are least first."""
+    """The k best (score, id) of each of n queries, over blocks of scores. Scores are least first.
 
-    def __init__(self, k: int, most: int = 1 << 20):
-        self.k, self.most, self.parts, self.size = k, most, [], 0
+    `limit` is what a query's k-th best can't exceed any more: scores above it are dropped at once.
+    """
+
+    def __init__(self, k: int, n: int, most: int = 1 << 21):
+        import numpy as np
+
+        self.k, self.limit, self.most, self.parts, self.size = k, np.full(n, np.inf), most, [], 0
 
     def add(self, queries, scores, ids) -> None:
-        """scores: a row for each of queries, a column for each of ids."""
-        row, at = within_edge(scores, self.k)
+        """scores: a row for each of queries (numbers below n), a column for each of ids."""
+        import numpy as np
+
+        limit = self.limit[queries]
+        if scores.shape[1] > self.k:
+            self.limit[queries] = limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
+        row, at = np.divmod(np.flatnonzero(scores <= limit[:, None]), scores.shape[1])
         self.parts.append((queries[row], scores[row, at], ids[at]))
         self.size += len(row)
         if self.size > self.most:
@@ -92,7 +105,11 @@ class TopK:
         query, score, ident = (np.concatenate(x) for x in zip(*self.parts))
         order = np.lexsort((ident, score, query))
         order = order[first_of_each(query[order], self.k)]
-        self.parts, self.size = [(query[order], score[order], ident[order])], len(order)
+        query, score, ident = query[order], score[order], ident[order]
+        self.parts, self.size = [(query, score, ident)], len(order)
+        if len(query) >= self.k:
+            full = np.flatnonzero(query[self.k - 1 :] == query[: len(query) - self.k + 1]) + self.k - 1
+            self.limit[query[full]] = np.minimum(self.limit[query[full]], score[full])
 
     def table(self):
         """(query, score, id) columns."""

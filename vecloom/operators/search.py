@@ -13,7 +13,7 @@ from vecloom.operators.pq import load_codebook, tables
 from vecloom.session import BROADCAST_BYTES
 
 #: Queries that go out in one broadcast; more are searched in further passes and united.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
 #: Rows that a task gathers by cluster before it scores them.
 SCAN_ROWS = 1 << 18
 
@@ -39,6 +39,12 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK):
         yield np.array([s[0] for s in some], np.int64), np.array([s[1] for s in some], np.float64)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the cluster runs at once, if it has fewer: what a few files hold, next to many queries."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def _union(parts: list[DataFrame], spark, schema: str = "qid bigint, id bigint, dist bigint") -> DataFrame:
     if not parts:
         return spark.createDataFrame([], schema)
@@ -59,17 +65,17 @@ def flat_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") ->
             import pyarrow as pa
 
             qids, q = shared.value
-            best = kernels.TopK(k)
+            best, every = kernels.TopK(k, len(q)), np.arange(len(q))
             for whole in batches:
                 step = max(k + 1, CELLS // len(q))
                 for s in range(0, whole.num_rows, step):
                     b = whole.slice(s, step)
                     ids, v = b.column(0).to_numpy(), kernels.matrix(b.column(1))
-                    best.add(qids, np.rint(kernels.l2(q, v) if metric == "l2" else -(q @ v.T)), ids)
-            qid, d, ids = best.table()
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
+                    best.add(every, np.rint(kernels.l2(q, v) if metric == "l2" else -(q @ v.T)), ids)
+            row, d, ids = best.table()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
 
-        parts.append(base.select("id", "v").mapInArrow(run, "qid bigint, id bigint, dist bigint"))
+        parts.append(spread(base.select("id", "v")).mapInArrow(run, "qid bigint, id bigint, dist bigint"))
     return top_k(_union(parts, spark), k, sign < 0)
 
 
@@ -101,7 +107,7 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
             import pyarrow as pa
 
             qids, q, c, by, book = shared.value
-            best, kept, size = kernels.TopK(k), [], 0
+            best, kept, size = kernels.TopK(k, len(q)), [], 0
 
             def scan():
                 if not kept:
@@ -113,21 +119,26 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
                 for lo, hi in zip(edges[:-1], edges[1:]):
                     if int(cid[lo]) not in by:
                         continue
-                    j, rows = by[int(cid[lo])]
-                    if book is not None:
-                        table = kernels.lut(q[rows] - c[j] if metric == "l2" and by_residual else q[rows], book, metric)
-                    step = max(k + 1, CELLS // len(rows))
-                    for a in range(lo, hi, step):
-                        part = x[a : min(hi, a + step)]
-                        if book is None:
-                            d = kernels.l2(q[rows], part) if metric == "l2" else -(q[rows] @ part.T)
-                        else:
-                            d = np.zeros((len(rows), len(part)))
-                            for m in range(book.shape[0]):
-                                d += table[:, m * book.shape[1] + part[:, m]]
-                            if metric == "ip":
-                                d = -(d + (q[rows] @ c[j])[:, None] * by_residual)
-                        best.add(qids[rows], np.rint(d), ids[a : min(hi, a + step)])
+                    j, every = by[int(cid[lo])]
+                    some = max(1, CELLS // (book.shape[0] * book.shape[1])) if book is not None else len(every)
+                    for rows in (every[i : i + some] for i in range(0, len(every), some)):
+                        score(j, rows, x[lo:hi], ids[lo:hi])
+
+            def score(j, rows, x, ids):
+                if book is not None:
+                    table = kernels.lut(q[rows] - c[j] if metric == "l2" and by_residual else q[rows], book, metric)
+                step = max(k + 1, CELLS // len(rows))
+                for a in range(0, len(x), step):
+                    part = x[a : a + step]
+                    if book is None:
+                        d = kernels.l2(q[rows], part) if metric == "l2" else -(q[rows] @ part.T)
+                    else:
+                        d = np.zeros((len(rows), len(part)))
+                        for m in range(book.shape[0]):
+                            d += table[:, m * book.shape[1] + part[:, m]]
+                        if metric == "ip":
+                            d = -(d + (q[rows] @ c[j])[:, None] * by_residual)
+                    best.add(rows, np.rint(d, out=d), ids[a : a + step])
 
             for b in batches:
                 kept.append((b.column(0).to_numpy(), b.column(1).to_numpy(), kernels.matrix(b.column(2), "int64" if book is not None else "float64")))
@@ -136,11 +147,11 @@ def ivf_search(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: in
                     scan()
                     kept, size = [], 0
             scan()
-            qid, d, ids = best.table()
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
+            row, d, ids = best.table()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids.astype(np.int64)), pa.array((sign * d).astype(np.int64))], ["qid", "id", "dist"])
 
         probed = lists.where(F.col("cid").isin([int(cids[j]) for j in by])) if len(by) < len(cids) else lists
-        parts.append(probed.select(F.col("cid").cast("bigint"), "id", column).mapInArrow(run, "qid bigint, id bigint, dist bigint"))
+        parts.append(spread(probed.select(F.col("cid").cast("bigint"), "id", column)).mapInArrow(run, "qid bigint, id bigint, dist bigint"))
     return top_k(_union(parts, spark), k, sign < 0)
 
 

@@ -91,12 +91,12 @@ def kmeans(rows, k: int, seed: int = 7, rounds: int = 20):
     rng = np.random.default_rng(seed)
     k = min(k, len(rows))
     c = rows[[rng.integers(len(rows))]]
-    d = kernels.l2(rows, c)[:, 0]
+    d = kernels.l2(rows, c)[:, 0].clip(0)
     while len(c) < k:
         total = d.sum()
         pick = rng.choice(len(rows), p=d / total) if total > 0 else len(c)
         c = np.concatenate([c, rows[[pick]]])
-        d = np.minimum(d, kernels.l2(rows, rows[[pick]])[:, 0])
+        d = np.minimum(d, kernels.l2(rows, rows[[pick]])[:, 0].clip(0))
     for _ in range(rounds):
         dist = kernels.l2(rows, c)
         at = dist.argmin(1)
