@@ -26,17 +26,32 @@ def top_k(candidates: DataFrame, k: int, descending: bool = False, per: str = "q
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK):
-    """The query set in blocks of (qids, matrix); a block stays under the broadcast bound whatever the dimension."""
+    """The query set in blocks of (qids, matrix); a block stays under the broadcast bound whatever the dimension.
+
+    Tasks pack their queries, so that few large records reach the driver, a partition at a time.
+    """
     import numpy as np
 
-    some = []
-    for r in queries.select("qid", "v").orderBy("qid").toLocalIterator():
-        some.append((r["qid"], list(r["v"])))
-        if len(some) == block or len(some) * len(some[0][1]) * 8 > BROADCAST_BYTES // 2:
-            yield np.array([s[0] for s in some], np.int64), np.array([s[1] for s in some], np.float64)
-            some = []
-    if some:
-        yield np.array([s[0] for s in some], np.int64), np.array([s[1] for s in some], np.float64)
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                v = np.ascontiguousarray(kernels.matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["qids", "v"])
+
+    qids, v = np.zeros(0, np.int64), None
+    for r in queries.select(F.col("qid").cast("bigint"), "v").mapInArrow(pack, "qids binary, v binary").toLocalIterator():
+        more = np.frombuffer(r["qids"], np.int64)
+        rows = np.frombuffer(r["v"], np.float64).reshape(len(more), -1)
+        qids, v = np.concatenate([qids, more]), rows if v is None else np.concatenate([v, rows])
+        most = max(1, min(block, BROADCAST_BYTES // 2 // (8 * v.shape[1])))
+        while len(qids) >= most:
+            yield qids[:most], v[:most]
+            qids, v = qids[most:], v[most:]
+    if len(qids):
+        yield qids, v
 
 
 def spread(df: DataFrame) -> DataFrame:
