@@ -113,12 +113,13 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rounds: int = 100, smooth: f
         return 0.5, []
     votes, n = np.array(list(patterns), np.int64), np.array(list(patterns.values()), float)
     good = np.where((votes == 0).any(1), 0.1, 0.9)
-    hot = np.stack([votes == v for v in range(3)], 2).astype(float)  # pattern, rule, vote
+    rules = votes.shape[1]
+    hot = np.stack([votes == v for v in range(3)], 2).reshape(len(votes), 3 * rules).astype(float)
     for _ in range(rounds):
         share = ((n * good).sum() + smooth) / (n.sum() + 2 * smooth)
-        p = np.stack([np.einsum("p,prv->rv", n * x, hot) + smooth for x in (1 - good, good)])
+        p = (np.stack([n * (1 - good), n * good]) @ hot).reshape(2, rules, 3) + smooth
         p /= p.sum(2, keepdims=True)
-        log = np.einsum("prv,crv->cp", hot, np.log(p)) + np.log([[1 - share], [share]])
+        log = np.log(p).reshape(2, -1) @ hot.T + np.log([[1 - share], [share]])
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         done, good = np.abs(new - good).max() < 1e-6, new
         if done:
@@ -130,9 +131,10 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rounds: int = 100, smooth: f
 
 def learn(docs: DataFrame, text: str = "text") -> tuple[float, list[list[list[float]]]]:
     """fit_votes over all documents: they are counted by vote pattern first, at most 3 to the power of the rules' number rows."""
-    code = sum((v * 3**i for i, (_, v) in enumerate(rules())), F.lit(0))
+    votes = [v for _, v in rules()]
+    code = sum((v * 3**i for i, v in enumerate(votes)), F.lit(0))
     found = with_stats(docs.select(text), text).groupBy(code.alias("code")).count().collect()
-    return fit_votes({tuple(r["code"] // 3**i % 3 for i in range(len(rules()))): r["count"] for r in found})
+    return fit_votes({tuple(r["code"] // 3**i % 3 for i in range(len(votes))): r["count"] for r in found})
 
 
 def posterior(model: tuple[float, list[list[list[float]]]], c=F.col) -> Column:
