@@ -405,7 +405,7 @@ def test_near_duplicates_on_odd_documents(odd, empty):
     assert near_dup.keep_one(empty).count() == 0
 
 
-def test_near_duplicates_in_blocks(spark):
+def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A group of near copies of one text far larger than a block, many pairs around the threshold, next to others."""
     rng, rows = random.Random(8), []
     base = prose(20, 150).split(" ")
@@ -419,6 +419,8 @@ def test_near_duplicates_in_blocks(spark):
     want = brute_classes(rows)
     assert bag(near_dup.near_duplicates(df, block=16), "doc_id", "class_id", "n_links", "n_class") == want
     assert bag(near_dup.near_duplicates(df), "doc_id", "class_id", "n_links", "n_class") == want
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 20_000)
+    assert bag(near_dup.near_duplicates(df), "doc_id", "class_id", "n_links", "n_class") == want
 
 
 def test_recall_of_prefixes():

@@ -12,8 +12,9 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.9999
-#: Texts of a block; a candidate group of more texts is compared block by block.
+#: Texts of a block, and bytes of their texts; a candidate group of more is compared block by block.
 BLOCK = 512
+BLOCK_BYTES = 16 << 20
 #: Columns of the shingle matrix that are multiplied at once.
 COLUMNS = 4096
 SEED = 1
@@ -185,13 +186,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal texts are one node with a count, so copies are never compared. Nodes whose signatures share a trie prefix
     in any tree are brought together by connected components, and within each such candidate group all pairs are
-    compared exactly, by products of 0/1 matrices in tasks of two blocks at most: pairs are counted, not made into
+    compared exactly, by products of 0/1 matrices in tasks of two blocks at most (of 512 texts and 16 MB): pairs are counted, not made into
     rows. A pair is missed only if no tree brings it, by whatever path of prefixes, into one group.
     """
     spark = docs.sparkSession
     length = prefix_length(recall, threshold, trees, depth)
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    base = base.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+    base = base.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text"), "bytes": F.octet_length("text").cast("bigint")})
 
     def make():
         import pyarrow as pa
@@ -201,17 +202,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = fresh_path(spark, "near-dup-keys")
     append(base, [("keys", "array<bigint>")], "text", make).drop("text").write.parquet(at)
     signed = spark.read.parquet(at)
-    copies = signed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    copies = signed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"))
     # Buckets with two different texts at least, and the ties of their texts to the least one.
     # Copies are one row from here on, dropped before the exchange.
     keys = signed.groupBy("h1").agg(F.first("keys").alias("keys")).select("h1", F.posexplode("keys").alias("tree", "key"))
     buckets = keys.groupBy("tree", "key").agg(F.min("h1").alias("b"), F.max("h1").alias("top")).where("b < top").drop("top")
     ties = keys.join(buckets, ["tree", "key"]).select(F.col("h1").alias("a"), "b")
     groups = connected(ties)
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").select(F.col("node").alias("h1"), "label", F.expr(f"(size + {block - 1}) div {block}").cast("int").alias("blocks"))
-    members = members.withColumn("mine", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int"))
-    nodes = cut(members.join(copies, "h1").select("h1", "h2", "label", "blocks", "mine", "n", "least"))
+    nodes = groups.withColumnRenamed("node", "h1").join(copies, "h1")
+    sizes = nodes.groupBy("label").agg(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES).alias("size"))
+    nodes = nodes.join(sizes, "label").withColumn("blocks", F.ceil("size").cast("int"))
+    nodes = cut(nodes.withColumn("mine", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")).drop("size", "bytes"))
     # One row of each candidate text; then one for each pair of blocks that the text is in.
     chosen = base.join(nodes, (base.h1 == nodes.h1) & (base.h2 == nodes.h2) & base.doc_id.eqNullSafe(nodes.least)).select(nodes.h1, nodes.h2, "label", "blocks", "mine", "n", "text")
     pairs = chosen.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = linked.join(heads, "label").select(
         "h1", "h2", F.col("head.least").alias("class_id"), "n_class", (F.col("links") + F.col("n") - 1).alias("n_links"), ((F.col("h1") == F.col("head.h1")) & (F.col("h2") == F.col("head.h2"))).alias("first")
     )
-    return signed.drop("keys").join(alone.unionByName(linked), ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_class", "h1", "h2", "first")
+    return signed.drop("keys", "bytes").join(alone.unionByName(linked), ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_class", "h1", "h2", "first")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
