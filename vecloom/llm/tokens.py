@@ -20,7 +20,7 @@ _A = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _P = r"!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~" + '"'
 _CHUNK = rf" ?[{_A}]++(?![^{_W}{_P}])|\n(?=[^{_W}])|[{_W}]*[^{_W}]+|[{_W}]+"
 #: Chunks of a generation that a worker remembers, about 200 bytes each; there are two generations.
-REMEMBERED = 450_000
+REMEMBERED = 550_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
