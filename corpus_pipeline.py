@@ -34,7 +34,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as ids in sequences of at most 2048."""
+    """Texts as ids in sequences of at most 2048, a row per piece with its ids."""
     return pack_documents(docs, tokenizer_path())
 
 

@@ -102,6 +102,24 @@ def test_packed_ids_are_the_texts(odd):
     assert np.frombuffer(b"".join(r["ids"] for r in rows), "<u4").tolist() == [*ids(LONG), 1]
 
 
+def test_packed_sequences_hold_the_ids(odd, monkeypatch):
+    """By default too, as op5 and the pipeline pack; in several groups by bytes; rows of a sequence in its order."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100_000)
+    out = packing.pack_documents(odd, tokenizer_path(), 64)
+    rows = out.collect()
+    check_packed(rows, TEXTS, 64, 1)
+    assert len({r["sequence_id"] >> 40 for r in rows}) > 5
+    texts = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        texts[r["doc_id"]].append(bytes(r["ids"]))
+    for i, t in TEXTS:
+        if i and sum(j == i for j, _ in TEXTS) == 1:
+            assert np.frombuffer(b"".join(texts[i]), "<u4").tolist() == [*ids(t), 1]
+    at = [(r["sequence_id"], r["offset"]) for r in rows]
+    assert at == sorted(at)
+
+
 def naive_assign(lengths, capacity, linear, quadratic):
     """The rule as written, every sequence looked at for every piece."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])

@@ -99,3 +99,14 @@ def test_stages_return_the_columns_of_documents(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_no_documents(spark, k):
     assert corpus_pipeline.STAGES[k][1](spark, frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars"), SF).count() == 0
+
+
+def test_result_holds_the_redacted_texts(spark):
+    from vecloom.llm.tokens import tokenizer_path
+
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = frame(spark, [(1, f"{words} a.b@mail.example.com"), (2, None)])
+    out = corpus_pipeline.packing(spark, corpus_pipeline.pii(spark, docs, SF), SF)
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer_path())
+    got = {r["doc_id"]: memoryview(bytes(r["ids"])).cast("I").tolist() for r in out.collect()}
+    assert got == {1: [*tokenizer.encode(f"{words} [EMAIL]", add_special_tokens=False).ids, 1], 2: [1]}

@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import documents, small_batches
 from vecloom.llm.tokens import encoder, tokenizer_path
 
-#: Documents whose pieces one task packs. Their number, not the data's size, sets a task's memory (about 20 MB).
-GROUP = 100_000
+#: Bytes of texts whose ids one task packs. Ids take about as many bytes, four times as many at most.
+GROUP_BYTES = 16 << 20
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Documents as ids plus end_id, cut every `capacity` ids: doc_id, start, length, ids_crc32, doc_tokens, and ids (binary, unsigned 32-bit) with keep_ids."""
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents as ids plus end_id, cut every `capacity` ids: doc_id, start, length, doc_tokens, ids (binary, unsigned 32-bit)."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
+    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
 
     def run(batches):
-        import zlib
-
         import pyarrow as pa
 
         enc, last = encoder(path), int(end_id).to_bytes(4, "little")
         for b in batches:
-            kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if keep_ids else [])]
+            kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             rows: list[tuple] = []
             size = 0
             for key, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -32,7 +30,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     piece = ids[4 * s : 4 * (s + capacity)]
-                    rows.append((key, s, len(piece) // 4, zlib.crc32(piece), n, *([piece] if keep_ids else [])))
+                    rows.append((key, s, len(piece) // 4, n, piece))
                 size += len(ids)
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -41,7 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids)
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 def assign(lengths, capacity: int, linear: float, quadratic: float):
@@ -120,20 +118,25 @@ def assign(lengths, capacity: int, linear: float, quadratic: float):
     return sequence, offset
 
 
-def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
-    """pieces (with a column length) with sequence_id and offset; each of `groups` hash groups is packed by one task.
+def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024, keep_ids: bool = True) -> DataFrame:
+    """pieces with ids_crc32, sequence_id and offset; each of `groups` hash groups is packed by one task.
+
+    Pieces are exchanged with their ids, so a task holds whole sequences; it gives the rows of a sequence one after
+    the other, by offset. length and ids_crc32 are those of the ids that arrived there. With keep_ids false the ids
+    are left out at the end.
 
     sequence_id is the task's number times 2^40 plus the sequence's number there. Rows are put in order first, so a
     task that runs again gives the same sequences. Pieces are spread by a hash of the whole row: one document's many
     pieces go to many tasks. Rows equal in all columns (repeated null ids, say) stay together and are told apart only
     by their order.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
     df = pieces.select(*names)
-    at = names.index("length")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
@@ -142,27 +145,36 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1
         if not batches:
             return
         table = pa.Table.from_batches(batches).combine_chunks()
-        seq, off = assign(table.column(at).to_numpy(), capacity, linear, quadratic)
-        seq = seq + (np.int64(TaskContext.get().partitionId()) << 40)
-        for name, x in (("sequence_id", seq), ("offset", off)):
-            table = table.append_column(name, pa.array(x))
-        yield from table.to_batches(max_chunksize=10_000)
-
-    spread = df.repartition(groups, *(F.col(f"`{c}`") for c in names))
-    return spread.sortWithinPartitions(F.desc("length"), *(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
-
-
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Packs all documents: one row per piece with its sequence_id and offset there; ids_crc32 and, with keep_ids, the ids.
+        del batches
+        ids = table.column(4).chunk(0)
+        ends = np.frombuffer(ids.buffers()[1], np.int32 if pa.types.is_binary(ids.type) else np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        seq, off = assign(np.diff(ends) // 4, capacity, linear, quadratic)
+        first, order = np.int64(TaskContext.get().partitionId()) << 40, np.lexsort((off, seq))
+        for s in range(0, len(order), 1000):
+            at = order[s : s + 1000]
+            doc, start, _, doc_tokens, ids = table.take(pa.array(at)).combine_chunks().to_batches()[0].columns
+            held = ids.to_pylist()
+            length, crc = (pa.array([f(x) for x in held], pa.int64()) for f in (lambda x: len(x) // 4, zlib.crc32))
+            columns = {"doc_id": doc, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": doc_tokens}
+            columns |= ({"ids": ids} if keep_ids else {}) | {"sequence_id": pa.array(seq[at] + first), "offset": pa.array(off[at])}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    spread = df.repartition(groups, *names)
+    kinds = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, " + "ids binary, " * keep_ids + "sequence_id bigint, offset bigint"
+    return spread.sortWithinPartitions(F.desc("length"), *names).mapInArrow(run, kinds)
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Packs all documents: one row per piece with its ids, their ids_crc32, its sequence_id and offset there.
 
     A null or empty text is its end id alone. Null and repeated doc_ids are kept as they are. An empty table packs into
     no sequences. Columns besides doc_id and text are left out.
     """
     df = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    groups = max(1, -(-docs.select(doc_id).count() // GROUP))
-    return pack(pieces(df, path, capacity, end_id, keep_ids=keep_ids), groups, capacity)
+    size = df.agg(F.sum(F.octet_length("text").cast("bigint") + 1)).first()[0] or 0
+    return pack(pieces(df, path, capacity, end_id), max(1, -(-size // GROUP_BYTES)), capacity, keep_ids=keep_ids)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, a row per piece."""
+    """All documents in sequences of at most 2048 tokens, a row per piece with its ids."""
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
