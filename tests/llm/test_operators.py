@@ -441,6 +441,18 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert bag(near_dup.near_duplicates(df), "doc_id", "class_id", "n_links", "n_class") == want
 
 
+def test_near_duplicates_larger_than_a_block(spark, monkeypatch):
+    """Two or three texts that are each larger than a block: some blocks have no text."""
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 1000)
+    rows = []
+    for group in range(12):
+        for i in range(2 + group % 2):
+            rows.append((10 * group + i, prose(300 + group, 250) + f" end{i}"))
+    assert all(len(t) > 1000 for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert bag(near_dup.near_duplicates(df), "doc_id", "class_id", "n_links", "n_class") == brute_classes(rows)
+
+
 def test_recall_of_prefixes():
     k = near_dup.prefix_length()
     assert 1 - (1 - near_dup.THRESHOLD**k) ** near_dup.TREES >= near_dup.RECALL > 1 - (1 - near_dup.THRESHOLD ** (k + 1)) ** near_dup.TREES

@@ -164,11 +164,12 @@ def compare(table, words: int, threshold: float):
     for i, key in enumerate(zip(h1, h2)):
         first.setdefault(key, i)  # a row that occurs twice counts once
     at = sorted(first.values(), key=lambda i: (side[i], h1[i], h2[i]))
-    other = sum(side[i] == 0 for i in at)
-    two = any(side[i] == 1 for i in at)
-    if two and other == 0 or len(at) < 2:
+    # Blocks x and y may be one, and by hash either can be without texts; the texts alone don't tell which it is.
+    two = table.num_rows > 0 and table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    other = sum(side[i] == 0 for i in at) if two else 0
+    if two and not 0 < other < len(at) or len(at) < 2:
         return pa.table({k: pa.array([], pa.int64()) for k in ("h1", "h2", "links", "other")})
-    weight, label = links_within([shingles(data[i], words) for i in at], np.array([n[i] for i in at], np.int64), other if two else 0, threshold)
+    weight, label = links_within([shingles(data[i], words) for i in at], np.array([n[i] for i in at], np.int64), other, threshold)
     keep = [k for k in range(len(at)) if weight[k]]
     return pa.table({
         "h1": pa.array([h1[at[k]] for k in keep], pa.int64()), "h2": pa.array([h2[at[k]] for k in keep], pa.int64()),
