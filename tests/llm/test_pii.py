@@ -59,3 +59,28 @@ def test_edges_and_additions():
     assert [(s[0], s[1], s[2]) for s in found[3]] == [("card", 9, 25), ("card", 26, 42)]
     assert [s[0] for s in found[4]] == ["secret"]
     assert set(KINDS) >= {s[0] for f in found for s in f}
+
+
+def test_numbers_in_long_runs(monkeypatch):
+    """Every group of a run of any length is proposed, and so found whole."""
+    model, limits = fit()
+    cards = ["4111111111111111", "4012888888881881", "5555555555554444"]
+    phones = [f"555-123-45{k}" for k in range(67, 87)]
+    for sep in (" ", "/", ". "):
+        text = "cards " + sep.join(cards * 30)
+        places = [("card", m.start(), m.end()) for m in re.finditer("[0-9]{16}", text)]
+        assert len(places) == 90 and set(places) <= set(candidates(text))
+    text = "call " + " ".join(phones)
+    places = [("phone", m.start(), m.end()) for m in re.finditer("555-123-45[0-9]{2}", text)]
+    assert len(places) == 20 and set(places) <= set(candidates(text))
+    texts = [("pay with " + " ".join(cards) + " now").encode(), text.encode(), b"1 " * 200]
+    found = find(texts, model, limits)
+    assert [s[:3] for s in found[0]] == [("card", 9, 25), ("card", 26, 42), ("card", 43, 59)]
+    assert all(_covered(s, found[1]) for s in places)
+    monkeypatch.setattr("vecloom.llm.pii.JUDGED", 7)
+    assert find(texts, model, limits) == found
+
+
+def _covered(place, spans):
+    """No digit of the place is outside the spans."""
+    return all(any(a <= x < b for _, a, b, *_ in spans) for x in range(place[1], place[2]))
