@@ -81,6 +81,23 @@ def test_numbers_in_long_runs(monkeypatch):
     assert find(texts, model, limits) == found
 
 
+def test_long_secrets():
+    """Keys are found from end to end, however long; so are signed web tokens, parts and all."""
+    import random
+
+    rng = random.Random(3)
+    of = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    model, limits = fit()
+    for key in (of(300), of(600), of(2000), of(6000), "eyJ" + of(33) + ".eyJ" + of(700) + "." + of(342), "x" * 100 + of(500)):
+        for before in ("token=", "see ", 'secret = "'):
+            text, at = f"{before}{key} end", (len(before), len(before) + len(key))
+            assert ("secret", *at) in candidates(text), (before, len(key))
+            if not key.startswith("x"):
+                assert [s[:3] for s in find([text.encode()], model, limits)[0]] == [("secret", *at)], (before, len(key))
+    for text in ("a" * 300_000, "eyJ" * 100_000, "eyJ." * 80_000, "token=" * 50_000, "key:" + "a1/" * 100_000):
+        candidates(text)
+
+
 def _covered(place, spans):
     """No digit of the place is outside the spans."""
     return all(any(a <= x < b for _, a, b, *_ in spans) for x in range(place[1], place[2]))

@@ -70,9 +70,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?(?:@|[(\[{]at[)\]}])[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\.|[(\[{]dot[)\]}])[ ]?[A-Za-z0-9-]{1,63}){1,8}", re.I)
 _NUMBER = re.compile(r"\+?\(?(?<![0-9])[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+")
 _QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|[(\[{]dot[)\]}]) ?[0-9]{1,3}){3}(?![0-9])", re.I)
-_KEYED = re.compile(r"\b(?:[a-z]{1,20}[_-])?(?:token|secret|passwd|password|pwd|key|auth|bearer)\b[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"'<>,;]{6,200})", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,63}[0-9])[A-Za-z0-9_+/-]{16,200}(?![A-Za-z0-9_+/-])")
-_GROUP = re.compile(r"[0-9]+")
+_KEYED = re.compile(r"\b(?:[a-z]{1,20}[_-])?(?:token|secret|passwd|password|pwd|key|auth|bearer)\b[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"'<>,;]{6,}+)", re.I)
+_BARE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+")
+#: Signed web tokens: three parts in base64, the first of a JSON object.
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_+/.-])eyJ[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+_DOT, _GROUP = re.compile(r"\."), re.compile(r"[0-9]+")
 #: Candidates judged at once; numbers parted by blanks alone can give ten and more a group.
 JUDGED = 20_000
 
@@ -85,10 +87,13 @@ def candidates(text: str, data: bytes | None = None) -> list[tuple[str, int, int
         out += [("email", *m.span()) for m in _AT.finditer(text)]
     if b"=" in data or b":" in data:
         out += [("secret", *m.span(1)) for m in _KEYED.finditer(text)]
+    signed = [m.span() for m in _SIGNED.finditer(text)] if b"eyJ" in data else []
+    out += [("secret", *s) for s in signed]
     if len(data.translate(None, b"0123456789")) == len(data):
         return out
     out += [("ip", *m.span()) for m in _QUAD.finditer(text)]
-    out += [("secret", *m.span()) for m in _BARE.finditer(text)]
+    starts = {a for a, b in signed for a in (a, *(m.end() for m in _DOT.finditer(text, a, b)))}
+    out += [("secret", *m.span()) for m in _BARE.finditer(text) if m.start() not in starts]  # parts of a signed token aren't keys
     for m in _NUMBER.finditer(text):
         groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
         for i, (start, _) in enumerate(groups):
@@ -112,6 +117,7 @@ _WORDS = (
     re.compile(r"mail|contact|write|reach", re.I), re.compile(r"phone|\btel|call|fax|mobile|cell|dial|ring", re.I), re.compile(r"card|visa|master|amex|payment|credit|debit", re.I),
     re.compile(r"token|secret|passw|pwd|key|auth|bearer|credential", re.I), re.compile(r"\bip\b|host|address|server|from|client", re.I),
     re.compile(r"order|isbn|version|invoice|\bno\b|#|\bid\b|\bref|date|serial|sha|md5|commit|hash|total|page|item|build|euro|usd|[$€£]", re.I),
+    re.compile(r"base64,|data:|https?:|www\.", re.I),
 )
 
 
@@ -220,14 +226,16 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, tuple[int, int], str | N
     hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
     upper = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=k))
     four = lambda d, sep: sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    base64 = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=k))
+    signed = lambda: f"eyJ{mixed(rng.randint(17, 60))}.eyJ{mixed(rng.randint(40, 1500))}.{mixed(pick([43, 86, 342]))}"
     pick = rng.choice
     good = {
         "email": lambda: pick(["{a}.{n}@{b}.{c}.com", "{a}@{b}.org", "{a} (at) {b} (dot) com", "{a}[at]{b}.net", "{a} [at] {b} [dot] de", "{a}_{n}@{b}.co.uk", "{a} @ {b}.com"]).format(a=word(), b=word(), c=word(), n=digits(2)),
         "ip": lambda: pick([".", ".", ".", " . ", "[.]", "(dot)"][:4]).join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": lambda: pick([lambda d: d, lambda d: d, lambda d: four(d, " "), lambda d: four(d, "-")])(_card(rng, pick([16, 16, 16, 15, 13, 19]), True)),
         "phone": lambda: pick(["+1 ({a}) {b}-{d}", "({a}) {b}-{d}", "{a}-{b}-{d}", "{a}.{b}.{d}", "+44 20 {d} {e}", "0{a} {b} {d}", "+49 {a} {b}{d}", "{a}{b}{d}", "0{f} {f} {f} {f} {f}"]).format(a=digits(3), b=digits(3), d=digits(4), e=digits(4), f=digits(2)),
-        "key": lambda: pick([lambda: pick(["AKIA", "ASIA"]) + upper(16), lambda: pick(["ghp_", "glpat-", "xoxb-", "sk-"]) + mixed(rng.randint(24, 36)), lambda: mixed(rng.randint(28, 44))])(),
-        "secret": lambda: pick([lambda: hexes(40), lambda: hexes(32), lambda: mixed(rng.randint(20, 44)), lambda: "sk-" + mixed(32), lambda: word() + pick("!#$%&") + digits(4) + mixed(3)])(),
+        "key": lambda: pick([lambda: pick(["AKIA", "ASIA"]) + upper(16), lambda: pick(["ghp_", "glpat-", "xoxb-", "sk-"]) + mixed(rng.randint(24, 36)), lambda: mixed(rng.randint(28, 44)), signed, lambda: base64(rng.randint(60, 2000))])(),
+        "secret": lambda: pick([lambda: hexes(40), lambda: hexes(32), lambda: mixed(rng.randint(20, 44)), lambda: "sk-" + mixed(32), signed, lambda: base64(rng.randint(60, 2000)), lambda: mixed(rng.randint(60, 2000)), lambda: hexes(rng.randint(64, 512)), lambda: word() + pick("!#$%&") + digits(4) + mixed(3)])(),
     }
     lead = {
         "email": ["mail ", "contact: ", "", "", "write to "], "ip": ["from ", "host ", "", "ip: ", ""], "card": ["card ", "", "visa: ", "", "credit card no. "], "phone": ["call ", "tel: ", "phone ", "mobile: ", "fax ", "", ""],
@@ -241,6 +249,8 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, tuple[int, int], str | N
         lambda: ("token = ", word() + "_" + word()), lambda: ("password: ", word() + word()[:4]), lambda: ("sha256: ", hexes(64)), lambda: ("commit ", hexes(40)), lambda: ("", "-".join(word() for _ in range(5)) + "-" + digits(2)), lambda: ("", f"{digits(4)}/{digits(4)}/{digits(4)}"),
         lambda: ("", word().upper() + digits(rng.randint(8, 14))), lambda: ("", pick("ABSX") + digits(rng.randint(15, 20))), lambda: ("", word() + pick("-_") + word() + pick("-_") + word() + digits(2)), lambda: ("", word() + digits(12)),
         lambda: ("", f"{digits(1)} {digits(1)} {digits(1)} {digits(1)} {digits(1)} {digits(1)} {digits(1)} {digits(2)}"), lambda: ("", f"{word()}_{word()}_{word()}_{word()}_{word()}{digits(2)}"),
+        lambda: (f"data:image/{pick(['png', 'gif', 'jpeg'])};base64,", base64(rng.randint(60, 2000))), lambda: ("", pick("-_/").join(word() for _ in range(rng.randint(5, 80))) + digits(2)),
+        lambda: (pick(["key: ", "token: ", "auth: "]), "".join(rng.choices("的一是不了人我在有他这中大来上国", k=rng.randint(6, 300)))), lambda: (pick(["key: ", "token = ", "https://www."]), pick("-_/.").join(word() for _ in range(rng.randint(3, 60)))),
     ]
     out = []
     for i in range(n):
