@@ -20,3 +20,26 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count()
+
+
+def test_trained_recall_floor(spark):
+    """Half of the 16 lists probed, 100 candidates a query of 500 vectors."""
+    assert QUERIES["trained_recall"](spark, SF).first()["recall"] >= 0.9
+
+
+def test_greedy_placement_is_the_rule(spark):
+    """The registered placement is place() on the query's own statistics, and keeps units under capacity and near their share."""
+    from vecloom import queries as q
+    from vecloom.operators import coarse, placement
+
+    p = q.Plan(spark, SF)
+    work = {r["cid"]: (r["n_points"], r["work"]) for r in p.work().collect()}
+    near = {}
+    for r in coarse.centroid_neighbors(p.centroids).orderBy("cid", "rank").collect():
+        near.setdefault(r["cid"], []).append(r["neighbor"])
+    got = sorted(tuple(r) for r in QUERIES["placement_greedy"](spark, SF).collect())
+    assert got == placement.place([(c, n, w) for c, (n, w) in work.items()], near, q.UNITS, 1_366_000)
+    load = dict.fromkeys(range(q.UNITS), 0)
+    for c, _, u in got:
+        load[u] += work[c][1] / sum(c == x[0] for x in got)
+    assert {c for c, _, _ in got} == set(work) and max(load.values()) <= 2 * sum(load.values()) / q.UNITS

@@ -192,3 +192,159 @@ def test_stream(spark, tmp_path, blobs):
     stream = spark.readStream.schema("qid bigint, v array<int>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     serve(stream, ix, SearchParams(5), lambda df, n: got.extend(rows(df)), str(tmp_path / "ckpt")).awaitTermination(60)
     assert sorted(got) == brute(v, q[:6], 5)
+
+
+# --- Floats --------------------------------------------------------------------------------------------------------
+
+
+def floats(spark, v, name="id"):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], f"{name} bigint, v array<double>")
+
+
+def brute_floats(v, q, k, metric="l2"):
+    out = []
+    for i, x in enumerate(q):
+        d = ((x - v) ** 2).sum(1) if metric == "l2" else -(x * v).sum(1)
+        out += [(i, n + 1, int(j), float(d[j] if metric == "l2" else -d[j])) for n, j in enumerate(np.lexsort((np.arange(len(v)), d))[:k])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def units():
+    """Unit vectors, whose distances all lie between 0 and 4; the last 50 are equal to the first."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v = np.concatenate([v, v[:50]])
+    return v, v[::25]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_flat_floats_are_exact(spark, units, metric):
+    v, q = units
+    got, want = rows(search.flat_knn(floats(spark, v), floats(spark, q, "qid"), 10, metric)), brute_floats(v, q, 10, metric)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
+def test_small_and_large_floats_keep_their_order(spark):
+    """Distances far below one, and differences far below the vectors' length."""
+    v = np.array([[1e-6 * i, 0.0] for i in range(40)]) + [0, 1000.0]
+    got = rows(search.flat_knn(floats(spark, v), floats(spark, v[20:21], "qid"), 5))
+    assert [r[2] for r in got] == [20, 19, 21, 18, 22] and got[0][3] == 0.0
+
+
+def test_all_probes_of_float_lists_are_exact(spark, units):
+    v, q = units
+    base, queries = floats(spark, v), floats(spark, q, "qid")
+    ix = add(base, IndexSpec(20), base.where("id < 20").select(F.col("id").alias("cid"), F.col("v").alias("c")), None)
+    want = brute_floats(v, q, 10)
+    for got in (rows(ix.search(queries, "nprobe=20,k=10")), rows(search.ivf_join(ix.lists, queries, ix.centroids, 10, 20))):
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_refined_floats(spark, units, metric):
+    v, q = units
+    base, queries = floats(spark, v), floats(spark, q, "qid")
+    ix = build(base, "IVF8,PQ12x6", metric)
+    got = refined(ix, base, queries, SearchParams(10, 8), 30)
+    assert evaluate.overlap(got, search.flat_knn(base, queries, 10, metric), 10).first()[0] >= 0.9
+    want = {(r[0], r[2]): r[3] for r in brute_floats(v, q, len(v), metric)}
+    assert all(abs(r[3] - want[r[0], r[2]]) < 1e-9 for r in rows(got))
+
+
+# --- Query sets of many blocks -------------------------------------------------------------------------------------
+
+
+def test_queries_of_many_blocks_meet_the_lists_in_a_join(spark, monkeypatch, blobs):
+    v, q = blobs
+    base, queries = frame(spark, v), frame(spark, q, "qid")
+    ix = rule_index(base, 16, 4, 16)
+    flat = add(base, IndexSpec(16), ix.centroids, None)
+    want = [rows(x.search(queries, SearchParams(10, 5))) for x in (ix, flat)]
+    ip = rows(search.ivf_search(ix.lists, queries, ix.centroids, 10, 5, ix.codebook, "ip"))
+    for name, n in (("QUERY_BLOCK", 7), ("LIST_ROWS", 64), ("PROBE_ROWS", 3)):
+        monkeypatch.setattr(search, name, n)
+    plan = flat.search(queries, SearchParams(10, 5))
+    assert "FlatMapCoGroupsInArrow" in plan._jdf.queryExecution().toString()
+    assert [rows(ix.search(queries, SearchParams(10, 5))), rows(plan)] == want
+    assert rows(search.ivf_search(ix.lists, queries, ix.centroids, 10, 5, ix.codebook, "ip")) == ip
+
+
+def test_sample_is_spread(spark, blobs):
+    from vecloom.plans.index import train_sample
+
+    base = frame(spark, blobs[0])
+    some = train_sample(base, 1000)
+    assert 850 < some.count() < 1150 and some.rdd.getNumPartitions() >= 4
+    assert train_sample(base, 5000).count() == 3000
+
+
+# --- Placement, slices, lines ----------------------------------------------------------------------------------------
+
+
+def test_turns_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(placement, "TURNS", 4)
+    probes = spark.createDataFrame([(q, q % 2) for q in range(40)], "qid bigint, cid bigint")
+    placed = spark.createDataFrame([(0, 0, 5), (0, 1, 6), (0, 2, 7), (1, 0, 5)], "cid bigint, replica bigint, unit bigint")
+    got = {(r["qid"], r["cid"]): r["replica"] for r in placement.route(probes, placed).collect()}
+    assert got == {(q, q % 2): (q // 2) % 3 if q % 2 == 0 else 0 for q in range(40)}
+
+
+def test_slices_hold_all_points(spark):
+    assigned = spark.createDataFrame([(i, 0 if i < 70 else i % 3) for i in range(100)], "id bigint, cid bigint")
+    s = placement.slices(assigned, 16, 4)
+    rows_ = s.collect()
+    assert sum(r["n_points"] for r in rows_) == 100 and max(r["n_points"] for r in rows_) == 16
+    load = placement.slice_load(s, spark.createDataFrame([(0, 10), (1, 1), (2, 1)], "cid bigint, freq bigint")).collect()
+    assert sum(r["n_rows"] for r in load) == 10 * (70 + 10) + 10 + 10 and max(r["n_rows"] for r in load) < 2 * sum(r["n_rows"] for r in load) / 4
+
+
+def naive_lines(codes, most):
+    """Pairs by falling count; each grows by the code that goes best with all its codes, among frequent pairs only."""
+    from collections import Counter
+    from itertools import combinations
+
+    out = set()
+    for cid in {c for c, _ in codes}:
+        n = Counter(p for c, code in codes if c == cid for p in combinations(list(enumerate(code)), 2))
+        n = dict(sorted(((p, x) for p, x in n.items() if x >= 2), key=lambda x: (-x[1], x[0][0], x[0][1]))[: cooc.PAIRS_PER_LINE * most])
+        both = lambda a, b: n.get((min(a, b), max(a, b)), 0)  # noqa: B023, E731
+        every, made = sorted({x for p in n for x in p}), []
+        for a, b in n:
+            line = [a, b]
+            while len(line) < 4:
+                can = [x for x in every if x[0] not in {y[0] for y in line} and both(a, x)]
+                if not can:
+                    break
+                line.append(max(can, key=lambda x: (min(both(x, y) for y in line), tuple(-z for z in x))))  # noqa: B023
+            if len(line) == 4 and len(made) < most and sorted(line) not in made:
+                made.append(sorted(line))
+        out |= {(cid, i, s, m, k) for i, line in enumerate(made) for s, (m, k) in enumerate(line)}
+    return out
+
+
+def test_mined_lines_as_by_hand(spark, blobs):
+    ix = rule_index(frame(spark, blobs[0][:500]), 6, 8, 4)
+    codes = [(r["cid"], list(r["code"])) for r in ix.lists.collect()]
+    assert {tuple(r) for r in cooc.mine_lines(ix.lists, 12).select("cid", "line", "slot", "m", "k").collect()} == naive_lines(codes, 12)
+
+
+def test_training_as_by_hand(spark, blobs):
+    """Each trained cluster's centroid is the mean of the vectors that lists put there; each word that of its parts."""
+    v, _ = blobs
+    base = floats(spark, v)
+    ix = build(base, "IVF12,PQ4x4")
+    c = {r["cid"]: np.array(r["c"]) for r in ix.centroids.collect()}
+    near = np.array([min(c, key=lambda j: ((x - c[j]) ** 2).sum()) for x in v])
+    lists = {r["id"]: (r["cid"], list(r["code"])) for r in ix.lists.collect()}
+    assert [lists[i][0] for i in range(len(v))] == near.tolist()
+    assert max(np.abs(v[near == j].mean(0) - c[j]).max() for j in c) < 3  # data spread by 30
+    words = np.zeros((4, 16, 4))
+    for r in ix.codebook.collect():
+        words[r["m"], r["k"]] = r["w"]
+    r = np.stack([v[i] - c[near[i]] for i in range(len(v))]).reshape(len(v), 4, 4)
+    code = ((r[:, :, None, :] - words[None]) ** 2).sum(3).argmin(2)
+    assert [lists[i][1] for i in range(len(v))] == code.tolist()
+    one = ((r - np.take_along_axis(words[None], code[:, :, None, None], 2)[:, :, 0]) ** 2).sum()
+    assert one < 0.5 * (r**2).sum()

@@ -68,3 +68,27 @@ def test_logs(spark, tmp_path):
     pack = lambda *x: " ".join(str(m << 8 | k) for m, k in x)
     (tmp_path / "c").write_text(pack((0, 1), (1, 2), (2, 3), (3, 4)) + "\n" + pack((0, 1), (0, 2), (2, 3), (3, 4)) + "\n" + pack((0, 1)) + "\n")
     assert [(r["cid"], r["slot"], r["m"], r["k"]) for r in logs.cluster_lines(spark, str(tmp_path / "c"), 5).orderBy("slot").collect()] == [(5, i, i, i + 1) for i in range(4)]
+
+
+def test_append_and_overwrite(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "v array<float>").coalesce(1)
+    at = str(tmp_path / "a b" / "out")
+    write_vecs(frame([1.0, 2.0], [3.0, 4.0], [5.0, 6.0]).repartition(3).sortWithinPartitions("v"), at)
+    write_vecs(frame([7.0, 8.0], [9.0, 10.0]), at)
+    got = [v for _, v in rows(read_vecs(spark, at))]
+    assert sorted(got[:3]) == [[1, 2], [3, 4], [5, 6]] and got[3:] == [[7, 8], [9, 10]]
+    write_vecs(frame([0.5, 0.25]), at, mode="overwrite")
+    assert rows(read_vecs(spark, at)) == [(0, [0.5, 0.25])]
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    at = tmp_path / "out"
+    with pytest.raises(Exception, match="different dimensions"):
+        write_vecs(spark.createDataFrame([([1.0],), ([2.0, 3.0],)], "v array<float>").coalesce(1), str(at))
+    assert not [x for x in at.iterdir() if not x.name.endswith(".crc")] if at.exists() else True
+
+
+def test_paths_take_the_default_file_system(spark, tmp_path):
+    from vecloom.sources.vecs import qualified
+
+    assert qualified(spark, str(tmp_path / "x")) == f"file://{tmp_path}/x"

@@ -1,4 +1,8 @@
-"""Numpy kernels for Arrow batches. Distances of whole numbers are exact: products stay below 2^53."""
+"""Numpy kernels for Arrow batches. Distances of whole numbers are exact: products stay below 2^53.
+
+Distances of floats are never rounded. `l2` and products of matrices find candidates; their last digits depend on the
+block, so `scores` gives float candidates their distance anew, summed alike for any pair: equal vectors tie exactly.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +27,24 @@ def l2(a, b):
     return np.concatenate([-2.0 * a, square(a), one(a)], 1) @ np.concatenate([b, one(b), square(b)], 1).T
 
 
+def slack(q, v):
+    """For each row of q, more than a matrix product can be off by in its distance or product with any row of v."""
+    import numpy as np
+
+    return 1e-12 * ((q * q).sum(1) + (v * v).sum(1).max(initial=0) + np.finfo(float).tiny)
+
+
+def scores(q, v, metric: str = "l2", cells: int = 1 << 21):
+    """The distance of each row of q and the row of v beside it, or for ip their product with its sign changed."""
+    import numpy as np
+
+    out, step = np.empty(len(q)), max(1, cells // max(1, q.shape[1]))
+    for s in range(0, len(q), step):
+        a, b = q[s : s + step], v[s : s + step]
+        out[s : s + step] = ((a - b) ** 2).sum(1) if metric == "l2" else -(a * b).sum(1)
+    return out
+
+
 def within_edge(d, n: int):
     """(rows, columns) of the values that aren't above the n-th least of their row: n a row or, at ties, more."""
     import numpy as np
@@ -77,7 +99,8 @@ def lut(r, codebook, metric: str = "l2"):
 class TopK:
     """The k best (score, id) of each of n queries, over blocks of scores. Scores are least first.
 
-    `limit` is what a query's k-th best can't exceed any more: scores above it are dropped at once.
+    `limit` is what a query's k-th best can't exceed any more: scores above it are dropped at once. exact: gives the
+    scores of some (queries, columns) anew where those of a block are only good to within `slack` of each query.
     """
 
     def __init__(self, k: int, n: int, most: int = 1 << 21):
@@ -85,15 +108,15 @@ class TopK:
 
         self.k, self.limit, self.most, self.parts, self.size = k, np.full(n, np.inf), most, [], 0
 
-    def add(self, queries, scores, ids) -> None:
+    def add(self, queries, scores, ids, exact=None, slack=0.0) -> None:
         """scores: a row for each of queries (numbers below n), a column for each of ids."""
         import numpy as np
 
         limit = self.limit[queries]
         if scores.shape[1] > self.k:
-            self.limit[queries] = limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
-        row, at = np.divmod(np.flatnonzero(scores <= limit[:, None]), scores.shape[1])
-        self.parts.append((queries[row], scores[row, at], ids[at]))
+            self.limit[queries] = limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1] + slack)
+        row, at = np.divmod(np.flatnonzero(scores <= (limit + slack)[:, None]), scores.shape[1])
+        self.parts.append((queries[row], exact(row, at) if exact else scores[row, at], ids[at]))
         self.size += len(row)
         if self.size > self.most:
             self._cut()

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Element types whose distances are whole numbers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def kind_of(*columns: tuple[DataFrame, str]) -> str:
+    """bigint if the elements of all these (df, array column) are whole numbers, else double: the type of their distances."""
+    return "bigint" if all(df.schema[c].dataType.elementType.simpleString() in WHOLE for df, c in columns) else "double"
+
 
 def quantize(v: Column, scale: float = 127.0) -> Column:
     """Each element times scale, truncated toward zero, as INT."""
@@ -26,13 +34,13 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def l2(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance, BIGINT for whole numbers."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("bigint") * (x - y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+def l2(a: Column, b: Column, kind: str = "bigint") -> Column:
+    """Squared Euclidean distance as `kind`: bigint for whole numbers, double for floats (see kind_of)."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast(kind) - y.cast(kind)) * (x.cast(kind) - y.cast(kind))), F.lit(0).cast(kind), lambda s, x: s + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("bigint") * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+def dot(a: Column, b: Column, kind: str = "bigint") -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast(kind) * y.cast(kind)), F.lit(0).cast(kind), lambda s, x: s + x)
 
 
 def subvector(v: Column, m: Column | int, dsub: int) -> Column:
@@ -45,12 +53,12 @@ def code_address(code: Column, ksub: int) -> Column:
 
 
 def adc(lut: Column, code: Column, m: int, ksub: int, clip: int | None = None) -> Column:
-    """Sum of the table's entries at the codes, unrolled, so that it compiles into plain array reads.
+    """Sum of the table's entries (bigint or double) at the codes, unrolled, so that it compiles into plain array reads.
 
-    clip: compatibility with tables whose entries wrap at so many bits.
+    clip: compatibility with tables of whole numbers whose entries wrap at so many bits.
     """
     entry = (lambda x: x.bitwiseAND(F.lit((1 << clip) - 1))) if clip else (lambda x: x)
-    return reduce(lambda a, b: a + b, (entry(F.get(lut, F.get(code, F.lit(i)) + F.lit(i * ksub))).cast("bigint") for i in range(m)))
+    return reduce(lambda a, b: a + b, (entry(F.get(lut, F.get(code, F.lit(i)) + F.lit(i * ksub))) for i in range(m)))
 
 
 def pack_item(m: Column, k: Column) -> Column:

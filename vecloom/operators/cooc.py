@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vecloom.functions import kernels
+from vecloom.session import checked
+
 #: Items of a line; a table has a sum for each subset of them.
 SLOTS = 4
+#: Frequent pairs of a cluster that mining looks at, for each line that it may make.
+PAIRS_PER_LINE = 16
+#: Elements of a block of comparisons in a worker.
+CELLS = 1 << 22
 
 
 def items(codes: DataFrame) -> DataFrame:
@@ -29,8 +37,11 @@ def modal_lines(codes: DataFrame) -> DataFrame:
 
 def mine_lines(codes: DataFrame, most: int = 256, least: int = 2) -> DataFrame:
     """Lines from frequent pairs: a pair that occurs `least` times or more, with the two codes that most often go with
-    both its codes. Pair counts of a cluster, ksub^2 * m^2 at most by the index's parameters, are handled in one task.
+    all its codes so far (ties: the lowest). Of each cluster the PAIRS_PER_LINE * most most frequent pairs are looked
+    at; Spark cuts them on both sides of the shuffle, so a task gets a bounded number of each cluster.
     """
+    by = W.partitionBy("cid").orderBy(F.desc("n"), "m1", "k1", "m2", "k2")
+    frequent = pairs(codes).where(F.col("n") >= least).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= PAIRS_PER_LINE * most).drop("rank")
 
     def one(table):
         import pyarrow as pa
@@ -43,8 +54,8 @@ def mine_lines(codes: DataFrame, most: int = 256, least: int = 2) -> DataFrame:
             near.setdefault(a, {})[b] = c
             near.setdefault(b, {})[a] = c
         out, seen, cid = [], set(), table.column("cid")[0].as_py()
-        for (a, b), c in sorted(n.items(), key=lambda x: (-x[1], x[0])):
-            if c < least or len(seen) == most:
+        for (a, b), _ in sorted(n.items(), key=lambda x: (-x[1], x[0])):
+            if len(seen) == most:
                 break
             line = [a, b]
             while len(line) < SLOTS:
@@ -59,51 +70,97 @@ def mine_lines(codes: DataFrame, most: int = 256, least: int = 2) -> DataFrame:
                 seen.add(key)
         return pa.table([pa.array(c, pa.int64() if i == 0 else pa.int32()) for i, c in enumerate(zip(*out))] if out else [pa.array([], pa.int64() if i == 0 else pa.int32()) for i in range(5)], names=["cid", "line", "slot", "m", "k"])
 
-    return pairs(codes).groupBy("cid").applyInArrow(one, "cid bigint, line int, slot int, m int, k int")
+    return frequent.groupBy("cid").applyInArrow(one, "cid bigint, line int, slot int, m int, k int")
+
+
+def load_lines(lines: DataFrame) -> dict:
+    """Lines of each cluster: cid to (line numbers, sub-quantiser of each slot, code of each slot); -1 in empty slots.
+
+    At most nlist * most * SLOTS rows by the parameters of index and mining; their bytes are checked.
+    """
+    import numpy as np
+
+    t = lines.select(*(F.col(c).cast("bigint") for c in ("cid", "line", "slot", "m", "k"))).toArrow()
+    cid, line, slot, m, k = (t.column(i).to_numpy() for i in range(5))
+    checked(4 * cid.nbytes, "lines")
+    order, out = np.argsort(cid, kind="stable"), {}
+    cids, first = np.unique(cid[order], return_index=True)
+    for c, on in zip(cids.tolist(), np.split(order, first[1:])):
+        names, at = np.unique(line[on], return_inverse=True)
+        ms, ks = np.full((len(names), SLOTS), -1, np.int64), np.full((len(names), SLOTS), -1, np.int64)
+        ms[at, slot[on]], ks[at, slot[on]] = m[on], k[on]
+        out[c] = (names, ms, ks)
+    return out
+
+
+def match(code, lines: tuple, ksub: int):
+    """(flat addresses, addresses of each row, combinations of each row) of codes (n, m) of one cluster with its lines.
+
+    Lines come in order of their matches with the whole code, then of their number; one takes the matching codes that
+    are still free if these are two at least.
+    """
+    import numpy as np
+
+    names, ms, ks = lines
+    n, m = code.shape
+    free, cached = np.ones((n, m), bool), np.full((n, 0), -1, np.int64)
+    if len(names):
+        hit = (code[:, ms.clip(0)] == ks) & (ms >= 0)
+        count = hit.sum(2)
+        order = np.argsort(-count, axis=1, kind="stable")
+        rounds = int((count >= 2).sum(1).max(initial=0))
+        cached, every = np.full((n, rounds), -1, np.int64), np.arange(n)
+        for r in range(rounds):
+            j = order[:, r]
+            on = hit[every, j] & free[every[:, None], ms[j].clip(0)]
+            on &= ((on.sum(1) > 1) & (count[every, j] >= 2))[:, None]
+            row, slot = np.nonzero(on)
+            free[row, ms[j[row], slot]] = False
+            mask = (on << np.arange(SLOTS)).sum(1)
+            cached[:, r] = np.where(mask > 0, m * ksub + (names[j] << SLOTS) + mask, -1)
+    hits = (cached >= 0).sum(1)
+    both = np.concatenate([np.where(free, code + np.arange(m) * ksub, -1), np.sort(cached, axis=1)], 1)
+    return both[both >= 0], (both >= 0).sum(1), hits
 
 
 def encode(codes: DataFrame, lines: DataFrame, m: int, ksub: int) -> DataFrame:
     """(cid, id, address, cached): addresses of plain codes and of combinations; lossless for distances.
 
     Codes of a vector that two or more slots of one line match become the address of that subset of the line, m * ksub +
-    16 * line + mask; a code that lines share goes to the one with most matches, then the lowest. Lines of a cluster
-    are few and travel with it; vectors aren't shuffled.
+    16 * line + mask; a code that lines share goes to the one with most matches, then the lowest. Lines are broadcast
+    once, under a checked size; vectors aren't shuffled, and the rows of a cluster in a batch are matched together.
     """
-    per = lines.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("line", "slot", "m", "k"))).alias("lines"))
-    joined = codes.join(F.broadcast(per), "cid", "left")
+    shared = codes.sparkSession.sparkContext.broadcast(load_lines(lines))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        none = (np.zeros(0, np.int64), np.zeros((0, SLOTS), np.int64), np.zeros((0, SLOTS), np.int64))
         for b in batches:
-            known: dict = {}
-            out, hits = [], []
-            for cid, code, rows in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                if cid not in known:
-                    known[cid] = by = {}
-                    for r in rows.as_py() or []:
-                        by.setdefault(r["line"], []).append((r["slot"], r["m"], r["k"]))
-                by = known[cid]
-                free, plain, cached = set(range(m)), [], []
-                found = sorted(((-sum(code[x] == k for _, x, k in s), j) for j, s in by.items()))
-                for n, j in found:
-                    if n > -2:
-                        break
-                    match = [(slot, x) for slot, x, k in by[j] if x in free and code[x] == k]
-                    if len(match) > 1:
-                        cached.append(m * ksub + (j << SLOTS) + sum(1 << slot for slot, _ in match))
-                        free -= {x for _, x in match}
-                plain = [x * ksub + code[x] for x in sorted(free)]
-                out.append(plain + sorted(cached))
-                hits.append(len(cached))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32())), pa.array(hits, pa.int32())], ["cid", "id", "address", "cached"])
-
-    return joined.select("cid", "id", "code", "lines").mapInArrow(run, "cid bigint, id bigint, address array<int>, cached int")
+            if not b.num_rows:
+                continue
+            cid, code = b.column(0).to_numpy(), kernels.matrix(b.column(2), "int64")
+            order = np.argsort(cid, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(cid[order]) != 0, [True]]))
+            flat, sizes, hits = [], [], []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                mine = shared.value.get(int(cid[order[lo]]), none)
+                step = max(1, CELLS // max(1, len(mine[0]) * SLOTS))
+                for s in range(lo, hi, step):
+                    for got, part in zip((flat, sizes, hits), match(code[order[s : min(hi, s + step)]], mine, ksub)):
+                        got.append(part)
+            offsets = np.concatenate([[0], np.concatenate(sizes).cumsum()])
+            address = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            rows = pa.array(order)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), address, pa.array(np.concatenate(hits), pa.int32())], ["cid", "id", "address", "cached"])
+
+    return codes.select(F.col("cid").cast("bigint").alias("cid"), "id", "code").mapInArrow(run, "cid bigint, id bigint, address array<int>, cached int")
 
 
 def line_sums(luts: DataFrame, lines: DataFrame, ksub: int) -> DataFrame:
     """(qid, cid, line, mask, s): sums of table entries for each subset of a line, for tables (qid, cid, lut)."""
-    at = luts.join(F.broadcast(lines), "cid").select("qid", "cid", "line", "slot", F.get("lut", F.col("m") * ksub + F.col("k")).alias("x"))
+    at = luts.join(lines, "cid").select("qid", "cid", "line", "slot", F.get("lut", F.col("m") * ksub + F.col("k")).alias("x"))
     masks = at.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << SLOTS) - 1))))
     bit = F.expr("shiftright(mask, slot) & 1")
     return masks.groupBy("qid", "cid", "line", "mask").agg(F.sum(F.col("x") * bit).alias("s"))
@@ -111,9 +168,10 @@ def line_sums(luts: DataFrame, lines: DataFrame, ksub: int) -> DataFrame:
 
 def scan(encoded: DataFrame, luts: DataFrame, sums: DataFrame, m: int, ksub: int) -> DataFrame:
     """(qid, id, dist) from re-encoded vectors: as many additions as addresses."""
+    kind = luts.schema["lut"].dataType.elementType.simpleString()
     tail = sums.groupBy("qid", "cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "mask", "s"))), lambda x: x["s"]).alias("tail"))
-    table = luts.join(tail, ["qid", "cid"], "left").select("qid", "cid", F.concat("lut", F.coalesce("tail", F.array().cast("array<bigint>"))).alias("table"))
-    return encoded.join(table, "cid").select("qid", "id", F.aggregate("address", F.lit(0).cast("bigint"), lambda s, a: s + F.get("table", a)).alias("dist"))
+    table = luts.join(tail, ["qid", "cid"], "left").select("qid", "cid", F.concat("lut", F.coalesce("tail", F.array().cast(f"array<{kind}>"))).alias("table"))
+    return encoded.join(table, "cid").select("qid", "id", F.aggregate("address", F.lit(0).cast(kind), lambda s, a: s + F.get("table", a)).alias("dist"))
 
 
 def hit_rate(encoded: DataFrame) -> DataFrame:

@@ -50,6 +50,31 @@ def explore(index, queries: DataFrame, truth: DataFrame, nprobes=(1, 2, 4, 8, 16
     return queries.sparkSession.createDataFrame(rows, "nprobe bigint, k bigint, recall double, cost bigint, seconds double")
 
 
+def sweep(index, queries: DataFrame, batches, nprobes, ks) -> DataFrame:
+    """(batch, nprobe, k, probes, list_rows, kept): for each setting of the grid, what the first `batch` queries by qid meet.
+
+    probes: clusters probed; list_rows: rows of these; kept: rows of each probe's best list at most. One pass over the
+    probes for the whole grid; explore() measures recall and seconds besides.
+    """
+    from vecloom.operators.coarse import probe
+
+    spark = queries.sparkSession
+    sizes = index.lists.groupBy("cid").agg(F.count("*").alias("n_points"))
+    first = queries.orderBy("qid").limit(max(batches))  # the largest batch, a parameter
+    met = probe(first, index.centroids, max(nprobes), "qid", keep=False).join(sizes, "cid").withColumn("n", F.dense_rank().over(W.orderBy("qid")))
+    grid = spark.createDataFrame([(b, p, k) for b in batches for p in nprobes for k in ks], "batch bigint, nprobe bigint, k bigint")
+    return met.join(grid, (F.col("n") <= F.col("batch")) & (F.col("rank") <= F.col("nprobe"))).groupBy("batch", "nprobe", "k").agg(
+        F.count("*").alias("probes"), F.sum("n_points").alias("list_rows"), F.sum(F.least("n_points", "k")).alias("kept")
+    )
+
+
+def unit_sweep(probes: DataFrame, sizes: DataFrame, units) -> DataFrame:
+    """(units, max_rows, mean_rows): load of the fullest unit and the mean if clusters are dealt to units by cid, for each number of units."""
+    rows = probes.groupBy("cid").agg(F.count("*").alias("freq")).join(sizes, "cid").select("cid", (F.col("freq") * F.col("n_points")).alias("n"))
+    each = rows.select("n", "cid", F.explode(F.array(*(F.lit(u).cast("bigint") for u in units))).alias("units")).groupBy("units", (F.col("cid") % F.col("units")).alias("unit")).agg(F.sum("n").alias("n"))
+    return each.groupBy("units").agg(F.max("n").alias("max_rows"), F.round(F.sum("n") / F.col("units"), 6).alias("mean_rows"))
+
+
 def operating_points(measured: DataFrame, cost: str = "cost", gain: str = "recall") -> DataFrame:
     """Rows that no other row beats: cheaper ones all gain less. One row per setting of a parameter grid."""
     before = F.max(gain).over(W.orderBy(cost, F.desc(gain)).rowsBetween(W.unboundedPreceding, -1))

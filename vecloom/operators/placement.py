@@ -10,6 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Nearest neighbours of a cluster that may join it on its unit.
+NEAR = 64
+#: Consecutive query ids whose probes of a cluster are numbered together.
+TURNS = 1 << 16
+
+
 def cluster_sizes(lists: DataFrame) -> DataFrame:
     return lists.groupBy("cid").agg(F.count("*").alias("n_points"))
 
@@ -111,10 +117,14 @@ def place(stats: list[tuple[int, int, int]], neighbors: dict[int, list[int]], un
 
 
 def placement(work: DataFrame, neighbors: DataFrame, units: int, capacity: int) -> DataFrame:
-    """place() for cluster_work and centroid_neighbors: both have sizes that the index's parameters fix, so the driver does it."""
-    near: dict[int, list[int]] = {}
-    for r in neighbors.orderBy("cid", "rank").collect():
-        near.setdefault(r["cid"], []).append(r["neighbor"])
+    """place() for cluster_work and centroid_neighbors(n=NEAR): a row and NEAR neighbours of each cluster, so the driver does it."""
+    import numpy as np
+
+    t = neighbors.where(F.col("rank") <= NEAR).select("cid", "rank", "neighbor").toArrow()
+    cid, rank, other = (t.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((rank, cid))
+    cids, first = np.unique(cid[order], return_index=True)
+    near = dict(zip(cids.tolist(), (x.tolist() for x in np.split(other[order], first[1:]))))
     rows = place([(r["cid"], r["n_points"], r["work"]) for r in work.collect()], near, units, capacity)
     return work.sparkSession.createDataFrame(rows, "cid bigint, replica bigint, unit bigint")
 
@@ -126,12 +136,16 @@ def unplaced(clusters: DataFrame, placed: DataFrame) -> DataFrame:
 def route(probes: DataFrame, placed: DataFrame) -> DataFrame:
     """Each probe (qid, cid) goes to one replica of its cluster, in turn by qid: (qid, cid, replica, unit).
 
-    The turn is counted per cluster in a window; clusters are many and probes of one are few next to its points.
+    The turn has two levels: probes are numbered within TURNS consecutive query ids, and the counts of the ranges
+    before (a row for each cluster and range) are added, so no task gets all probes of a hot cluster.
     """
     copies = placed.groupBy("cid").agg(F.count("*").alias("copies"))
-    turn = F.row_number().over(W.partitionBy("cid").orderBy("qid")) - 1
-    dealt = probes.join(F.broadcast(copies), "cid").withColumn("replica", F.pmod(turn, F.col("copies")))
-    return dealt.join(F.broadcast(placed), ["cid", "replica"]).select("qid", "cid", "replica", "unit")
+    probes = probes.select("qid", "cid", F.floor(F.col("qid") / TURNS).alias("range"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("cid").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = probes.groupBy("cid", "range").agg(F.count("*").alias("n")).join(copies, "cid").select("cid", "range", "copies", before.alias("before"))
+    turn = F.col("before") + F.row_number().over(W.partitionBy("cid", "range").orderBy("qid")) - 1
+    dealt = probes.join(ranges, ["cid", "range"]).withColumn("replica", F.pmod(turn, F.col("copies")))
+    return dealt.join(placed, ["cid", "replica"]).select("qid", "cid", "replica", "unit")
 
 
 def unit_offsets(placed: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -145,6 +159,30 @@ def unit_load(routed: DataFrame, sizes: DataFrame) -> DataFrame:
     return routed.join(sizes, "cid").groupBy("unit").agg(F.count("*").alias("n_probes"), F.countDistinct("qid").alias("n_queries"), F.sum("n_points").alias("n_rows"))
 
 
+def sorted_load(load: DataFrame) -> DataFrame:
+    """(place, unit, n_rows): units by falling rows, place from 1. One row a unit: their number is a parameter."""
+    return load.select(F.row_number().over(W.orderBy(F.desc("n_rows"), "unit")).cast("bigint").alias("place"), "unit", "n_rows")
+
+
+def slices(assigned: DataFrame, most: int, units: int) -> DataFrame:
+    """(cid, slice, unit, n_points): each cluster of (id, cid) in slices of `most` consecutive points, by id, and a unit for each.
+
+    Slices are dealt to units in turn, the largest first (ties: by cid and slice). A hot cluster is spread over units
+    without a copy: each unit scans its slices for every probe of the cluster. A slice's place follows from counts, a
+    row for each cluster and hash bucket of ids, so no task holds a cluster.
+    """
+    counts = assigned.groupBy("cid").agg(F.count("*").alias("n"))
+    each = counts.select("cid", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {most}"))).alias("slice"))
+    sized = each.select("cid", "slice", F.least(F.lit(most).cast("bigint"), F.col("n") - F.col("slice") * most).alias("n_points"))
+    turn = F.row_number().over(W.orderBy(F.desc("n_points"), "cid", "slice")) - 1  # a row a slice: points / most
+    return sized.select("cid", "slice", F.pmod(turn, F.lit(units)).cast("bigint").alias("unit"), "n_points")
+
+
+def slice_load(sliced: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(unit, n_probes, n_rows): every probe of a cluster meets all its slices, wherever they are."""
+    return sliced.join(frequency, "cid").groupBy("unit").agg(F.sum("freq").alias("n_probes"), F.sum(F.col("freq") * F.col("n_points")).alias("n_rows"))
+
+
 def balance(load: DataFrame) -> DataFrame:
     """One row: greatest, least and mean load, and the units that have them (the lowest at ties)."""
     return load.agg(

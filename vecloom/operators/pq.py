@@ -60,11 +60,12 @@ def addresses(codes: DataFrame, ksub: int) -> DataFrame:
 
 
 def tables(queries: DataFrame, codebook: DataFrame, r: str = "r", metric: str = "l2", out: str = "lut") -> DataFrame:
-    """df with the table of column r: entry m * ksub + k is the squared distance (ip: the product) of part m and word k."""
+    """df with the table of column r: entry m * ksub + k is the squared distance (ip: the product) of part m and word k, whole where both are."""
+    kind = V.kind_of((queries, r), (codebook, "w"))
     shared = queries.sparkSession.sparkContext.broadcast(load_codebook(codebook))
     names = [c for c in queries.columns if c != out]
     at = names.index(r)
-    schema = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes if n != out) + f", {out} array<bigint>"
+    schema = ", ".join(f"`{n}` {t}" for n, t in queries.dtypes if n != out) + f", {out} array<{kind}>"
 
     def run(batches):
         import numpy as np
@@ -73,7 +74,8 @@ def tables(queries: DataFrame, codebook: DataFrame, r: str = "r", metric: str =
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 b = whole.slice(s, 256)
-                t = np.rint(kernels.lut(kernels.matrix(b.column(at)), shared.value, metric)).astype(np.int64)
+                t = kernels.lut(kernels.matrix(b.column(at)), shared.value, metric)
+                t = np.rint(t).astype(np.int64) if kind == "bigint" else t
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, t.size + 1, t.shape[1], dtype=np.int32)), pa.array(t.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, out])
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators import coarse, pq, search
 from vecloom.params import IndexSpec, SearchParams, parse_index, parse_search
+from vecloom.session import stored
 
-#: Vectors that training looks at, at most: so many for each word or centroid, drawn by a hash of the id.
+#: Vectors that training looks at: about so many for each word or centroid, drawn by a hash of the id.
 TRAIN_PER_CENTROID = 256
 
 
@@ -111,8 +112,14 @@ def kmeans(rows, k: int, seed: int = 7, rounds: int = 20):
 
 
 def train_sample(vectors: DataFrame, n: int) -> DataFrame:
-    """n vectors by a hash of the id: the bound of what training sees, whatever the size of the base."""
-    return vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(n)
+    """About n vectors, all if there are fewer: those whose id's hash is in the lowest n / count-th, whatever the size of the base.
+
+    A filter: nothing is sorted or gathered, so the sample is spread as the base is. Stored, since training reads it again and again.
+    """
+    count = vectors.count()
+    if count > n:
+        vectors = vectors.where(F.xxhash64("id", F.lit(5)) < F.lit(int(-(2**63) + 2**64 * n // count)).cast("bigint"))
+    return search.spread(stored(vectors.select("id", "v"), "train"))
 
 
 def train(vectors: DataFrame, spec: IndexSpec | str, seed: int = 7) -> tuple[DataFrame | None, DataFrame | None]:
@@ -125,7 +132,7 @@ def train(vectors: DataFrame, spec: IndexSpec | str, seed: int = 7) -> tuple[Dat
     d = len(vectors.first()["v"])
     if spec.m and d % spec.m:
         raise ValueError(f"{d} dimensions can't be cut in {spec.m} parts")
-    sample = train_sample(vectors, TRAIN_PER_CENTROID * max(spec.nlist, spec.ksub if spec.m else 1)).cache()
+    sample = train_sample(vectors, TRAIN_PER_CENTROID * max(spec.nlist, spec.ksub if spec.m else 1))
     if spec.nlist:
         model = KMeans(k=spec.nlist, seed=seed, maxIter=20, featuresCol="f").fit(sample.select(array_to_vector(F.col("v").cast("array<double>")).alias("f")))
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -151,7 +158,7 @@ def train(vectors: DataFrame, spec: IndexSpec | str, seed: int = 7) -> tuple[Dat
 
 
 def build(vectors: DataFrame, spec: IndexSpec | str, metric: str = "l2", seed: int = 7) -> Index:
-    """Trains on a bounded sample and indexes every vector. Float vectors have float residuals; distances are rounded."""
+    """Trains on a bounded sample and indexes every vector. Float vectors have float residuals and distances."""
     spec = parse_index(spec, metric) if isinstance(spec, str) else spec
     if spec.kind == "flat":
         return add(vectors, spec, None, None)
@@ -160,11 +167,12 @@ def build(vectors: DataFrame, spec: IndexSpec | str, metric: str = "l2", seed: i
 
 
 def refined(index: Index, base: DataFrame, queries: DataFrame, params: SearchParams, factor: int = 10) -> DataFrame:
-    """factor * k candidates by codes, then exact distances of these: (qid, rank, id, dist).
+    """factor * k candidates by codes, then exact distances (metric ip: products) of these: (qid, rank, id, dist).
 
     The candidates are nq * factor * k rows; base vectors join them on id.
     """
+    kind, ip = V.kind_of((base, "v"), (queries, "v")), index.spec.metric == "ip"
     found = index.search(queries, SearchParams(params.k * factor, params.nprobe)).select("qid", "id")
     q = queries.select("qid", F.col("v").alias("qv"))
-    exact = base.select("id", "v").join(found, "id").join(q, "qid").select("qid", "id", V.l2(F.col("qv"), F.col("v")).alias("dist"))
-    return search.top_k(exact, params.k)
+    exact = base.select("id", "v").join(found, "id").join(q, "qid").select("qid", "id", (V.dot if ip else V.l2)(F.col("qv"), F.col("v"), kind).alias("dist"))
+    return search.top_k(exact, params.k, ip)

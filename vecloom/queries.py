@@ -15,7 +15,7 @@ from vecloom.functions import vectors as V
 from vecloom.operators import coarse, cooc, evaluate, placement, pq, search
 from vecloom.params import IndexSpec, SearchParams
 from vecloom.plans.index import Index, add, build, refined, rule_index
-from vecloom.session import scratch
+from vecloom.session import scratch, stored
 from vecloom.sources import logs, vecs
 
 NLIST, M, DSUB, KSUB, NPROBE, K, UNITS = 16, 8, 8, 16, 4, 10, 8
@@ -27,15 +27,21 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), V.quantize(F.col("embedding")).alias("v"))
 
 
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as they are: float vectors."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 def query_set(vectors: DataFrame) -> DataFrame:
     return vectors.where("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
 class Plan:
-    """The rule index of one call, with its query set, probes and tables."""
+    """The rule index of one call, with its query set, probes and tables. floats: over the embeddings as they are stored."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.base = spark, base(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, floats: bool = False):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.base = raw(spark, sf_dir) if floats else base(spark, sf_dir)
         self.queries = query_set(self.base)
 
     @property
@@ -238,7 +244,7 @@ def placement_balance(p: Plan):
 
 
 def _placed(p: Plan) -> DataFrame:
-    return placement.placement(p.work(), coarse.centroid_neighbors(p.centroids), UNITS, 1_366_000)
+    return placement.placement(p.work(), coarse.centroid_neighbors(p.centroids, placement.NEAR), UNITS, 1_366_000)
 
 
 def placement_greedy(p: Plan):
@@ -259,7 +265,7 @@ def operating_points(p: Plan):
     """Probes 1, 2, 4, 8 and 16 of the flat lists: cost is the vectors scanned, gain 1-recall@1; the settings that none beats."""
     truth = search.flat_knn(p.base, p.queries, 1).select("qid", "id")
     flat, sizes = add(p.base, IndexSpec(NLIST), p.centroids, None), p.sizes()
-    near = coarse.probe(p.queries, p.centroids, NLIST, "qid", keep=False).join(F.broadcast(sizes), "cid")
+    near = coarse.probe(p.queries, p.centroids, NLIST, "qid", keep=False).join(sizes, "cid")
     rows = None
     for n in (1, 2, 4, 8, 16):
         cost = near.where(F.col("rank") <= n).agg(F.sum("n_points").alias("cost"))
@@ -285,7 +291,7 @@ def cooc_lut(p: Plan):
 
 def cooc_scan(p: Plan):
     """Distances from re-encoded vectors: the same rows as adc_scan."""
-    t = p.tables().select("qid", "cid", "lut").cache()
+    t = stored(p.tables().select("qid", "cid", "lut"), "tables")
     return cooc.scan(cooc.encode(p.index.lists, p.lines(), M, KSUB), t, cooc.line_sums(t, p.lines(), KSUB), M, KSUB)
 
 
@@ -329,6 +335,82 @@ def log_argmax(p: Plan):
     return logs.argmax_block(logs.counter_blocks(p.spark, at), "rows").select("name", "n")
 
 
+def _six(df: DataFrame) -> DataFrame:
+    """Distances to six places. They are ranked before, by all their digits."""
+    return df.withColumn("dist", F.round("dist", 6) + F.lit(0.0))
+
+
+def flat_knn_float(p: Plan):
+    return _six(search.flat_knn(p.base, p.queries, K))
+
+
+def flat_ip_float(p: Plan):
+    return _six(search.flat_knn(p.base, p.queries, K, "ip"))
+
+
+def ivf_flat_float(p: Plan):
+    return _six(ivf_flat(p))
+
+
+def ivf_all_probes_float(p: Plan):
+    """With all probes the lists hold everything: the same rows as the exact search."""
+    return _six(add(p.base, IndexSpec(NLIST), p.centroids, None).search(p.queries, SearchParams(K, NLIST)))
+
+
+def ivfpq_float(p: Plan):
+    return _six(ivfpq_search(p))
+
+
+def ivfpq_plan_float(p: Plan):
+    """The same as DataFrame operations only."""
+    return _six(ivfpq_plan(p))
+
+
+def refined_float(p: Plan):
+    """50 candidates a query by codes, ranked by their exact distances."""
+    return _six(refined(p.index, p.base, p.queries, SearchParams(K, NPROBE), 5))
+
+
+def ivf_join_float(p: Plan):
+    """The float search with queries that meet the lists in an exchange, as for query sets of more than one block."""
+    ix = p.index
+    return _six(search.ivf_join(ix.lists, p.queries, ix.centroids, K, NPROBE, ix.codebook))
+
+
+def ivf_join(p: Plan):
+    return search.ivf_join(add(p.base, IndexSpec(NLIST), p.centroids, None).lists, p.queries, p.centroids, K, NPROBE)
+
+
+def load_sorted(p: Plan):
+    """Unit loads by falling rows, as a chart would show them: (place, unit, n_rows)."""
+    return placement.sorted_load(unit_load(p))
+
+
+def slices(p: Plan):
+    """Clusters cut in slices of at most 32 points each, dealt to units: (cid, slice, unit, n_points)."""
+    return placement.slices(coarse.assign(p.base, p.centroids), 32, UNITS)
+
+
+def slice_load(p: Plan):
+    """Rows to scan of each unit when every probe of a cluster goes to all its slices."""
+    return placement.slice_load(slices(p), placement.probe_frequency(p.probes()))
+
+
+def mine_lines(p: Plan):
+    """Lines of codes that often occur together, at most 8 a cluster."""
+    return cooc.mine_lines(p.index.lists, 8).select(*(F.col(c).cast("bigint").alias(c) for c in ("cid", "line", "slot", "m", "k")))
+
+
+def sweep(p: Plan):
+    """Settings of a search (batch, nprobe, k) with what does not depend on the machine: probes and list rows that they meet."""
+    return evaluate.sweep(p.index, p.queries, (5, 10, 25), (1, 4, 16), (1, 10))
+
+
+def unit_sweep(p: Plan):
+    """Balance of the rule's placement for numbers of units: (units, max_rows, mean_rows)."""
+    return evaluate.unit_sweep(p.probes().select("qid", "cid"), p.sizes(), (2, 4, 8, 16))
+
+
 def kmeans_train(p: Plan):
     """A trained coarse quantiser: vectors of each cluster."""
     return placement.cluster_sizes(build(p.base, f"IVF{NLIST},Flat").lists)
@@ -342,7 +424,7 @@ def pq_train(p: Plan):
 def trained_recall(p: Plan):
     """A trained index over every vector, its candidates compared exactly: share of the true 10 nearest that it finds."""
     ix = build(p.base, "IVF16,PQ16x6")
-    got = refined(ix, p.base, p.queries, SearchParams(K, 16), 20)
+    got = refined(ix, p.base, p.queries, SearchParams(K, 8), 10)
     return evaluate.overlap(got, search.flat_knn(p.base, p.queries, K), K)
 
 
@@ -366,9 +448,11 @@ _ALL = (
     flat_knn, flat_knn_ip, query_slice, coarse_assign, coarse_probe, residual, residual_int8, centroid_distances, centroid_neighbors, lloyd_step, pq_encode, code_address, codebook_quant,
     codebook_minmax, lut_l2, lut_ip, adc_scan, adc_scan_uint16, ivfpq_search, ivfpq_plan, ivfpq_ip, ivf_flat, pq_flat, topk_merge, segment_union_topk, cluster_sizes, probe_frequency,
     cluster_work, average_work, cluster_rank, replica_route, unit_offsets, unit_load, placement_balance, placement_greedy, placement_check, recall_at, operating_points, cooc_pairs,
-    cooc_encode, cooc_lut, cooc_scan, cooc_hit_rate, index_scan, index_search_saved, vec_scan, log_scan, log_argmax, kmeans_train, pq_train, trained_recall,
+    cooc_encode, cooc_lut, cooc_scan, cooc_hit_rate, ivf_join, load_sorted, slices, slice_load, mine_lines, sweep, unit_sweep, index_scan, index_search_saved, vec_scan, log_scan, log_argmax, kmeans_train, pq_train, trained_recall,
 )
+_FLOAT = (flat_knn_float, flat_ip_float, ivf_flat_float, ivf_all_probes_float, ivfpq_float, ivfpq_plan_float, refined_float, ivf_join_float)
 QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Plan(spark, sf_dir))) for f in _ALL} | {"lineitem_search": lineitem_search}
+QUERIES |= {f.__name__: (lambda spark, sf_dir, f=f: f(Plan(spark, sf_dir, True))) for f in _FLOAT}
 
 # --- The same in SQL ---------------------------------------------------------------------------------------------
 
@@ -449,6 +533,12 @@ _SQL = {
     "cooc_lut": "SELECT qid, lut.cid, line, mask, CAST(SUM(l * ((mask >> slot) & 1)) AS BIGINT) AS s FROM lut JOIN ln ON ln.cid = lut.cid AND ln.m = lut.m AND ln.k = lut.k, (SELECT unnest(range(16)) AS mask) GROUP BY 1, 2, 3, 4",
     "cooc_scan": "SELECT qid, id, dist FROM adc",
     "cooc_hit_rate": "SELECT COUNT(*) AS n_vectors, CAST(SUM(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_hit, CAST(SUM(n) AS BIGINT) AS n_adds FROM (SELECT id, SUM(late) AS c, COUNT(*) AS n FROM en GROUP BY 1)",
+    "ivf_join": _top("(SELECT flat.* FROM flat JOIN asg USING (id) JOIN pr ON pr.qid = flat.qid AND pr.cid = asg.cid)"),
+    "load_sorted": "SELECT row_number() OVER (ORDER BY n_rows DESC, unit) AS place, CAST(unit AS BIGINT) AS unit, n_rows FROM ul",
+    "slices": "SELECT cid, slice, CAST((row_number() OVER (ORDER BY n_points DESC, cid, slice) - 1) % 8 AS BIGINT) AS unit, n_points FROM (SELECT cid, slice, COUNT(*) AS n_points FROM (SELECT cid, (row_number() OVER (PARTITION BY cid ORDER BY id) - 1) // 32 AS slice FROM asg) GROUP BY 1, 2)",
+    "slice_load": "SELECT CAST(unit AS BIGINT) AS unit, CAST(SUM(freq) AS BIGINT) AS n_probes, CAST(SUM(freq * n_points) AS BIGINT) AS n_rows FROM (SELECT cid, (row_number() OVER (ORDER BY n_points DESC, cid, slice) - 1) % 8 AS unit, n_points FROM (SELECT cid, slice, COUNT(*) AS n_points FROM (SELECT cid, (row_number() OVER (PARTITION BY cid ORDER BY id) - 1) // 32 AS slice FROM asg) GROUP BY 1, 2)) JOIN fq USING (cid) GROUP BY 1",
+    "sweep": "SELECT CAST(b.batch AS BIGINT) AS batch, CAST(p.nprobe AS BIGINT) AS nprobe, CAST(k.k AS BIGINT) AS k, COUNT(*) AS probes, CAST(SUM(n_points) AS BIGINT) AS list_rows, CAST(SUM(least(n_points, k)) AS BIGINT) AS kept FROM (SELECT unnest([5, 10, 25]) AS batch) b, (SELECT unnest([1, 4, 16]) AS nprobe) p, (SELECT unnest([1, 10]) AS k) k JOIN (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) AS n FROM rk WHERE id % 20 = 0) r ON r.n <= b.batch AND r.rank <= p.nprobe JOIN sz USING (cid) GROUP BY 1, 2, 3",
+    "unit_sweep": "SELECT CAST(units AS BIGINT) AS units, CAST(MAX(n) AS BIGINT) AS max_rows, round(SUM(n) / units, 6) AS mean_rows FROM (SELECT units, cid % units AS unit, CAST(SUM(n_points) AS BIGINT) AS n FROM (SELECT unnest([2, 4, 8, 16]) AS units), pr JOIN sz USING (cid) GROUP BY 1, 2) GROUP BY units",
     "index_scan": "SELECT asg.cid, code.id, m, k FROM code JOIN asg USING (id)",
     "index_search_saved": _top("adc"),
     "vec_scan": "SELECT id, d, x FROM e",
@@ -457,11 +547,38 @@ _SQL = {
 }
 
 
-def _whole(sql: str) -> str:
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _CTE.items()) + f" SELECT * FROM ({sql})"
+def _whole(sql: str, floats: bool = False) -> str:
+    parts = _CTE | _FLOAT_CTE if floats else _CTE
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in parts.items()) + f" SELECT * FROM ({sql})"
+
+
+#: The same over floats: no whole numbers, and ties to nine places.
+_FLOAT_CTE = {
+    "e": "SELECT vec_id AS id, u.d, CAST(embedding[u.d + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS d) u",
+    "ad": "SELECT e.id, cen.cid, SUM((e.x - cen.x) * (e.x - cen.x)) AS dist FROM e JOIN cen USING (d) GROUP BY 1, 2",
+    "lut": "SELECT qr.qid, qr.cid, cb.m, cb.k, SUM((r - w) * (r - w)) AS l FROM qr JOIN cb ON qr.d // 8 = cb.m AND qr.d % 8 = cb.j GROUP BY 1, 2, 3, 4",
+    "lutip": "SELECT e.id AS qid, cb.m, cb.k, SUM(e.x * w) AS l FROM e JOIN cb ON e.d // 8 = cb.m AND e.d % 8 = cb.j WHERE e.id % 20 = 0 GROUP BY 1, 2, 3",
+    "adc": "SELECT lut.qid, code.id, SUM(l) AS dist FROM asg JOIN code USING (id) JOIN lut ON lut.cid = asg.cid AND lut.m = code.m AND lut.k = code.k GROUP BY 1, 2",
+    "flat": "SELECT q.id AS qid, b.id, SUM((q.x - b.x) * (q.x - b.x)) AS dist FROM e q JOIN e b ON q.d = b.d WHERE q.id % 20 = 0 GROUP BY 1, 2",
+}
+
+
+def _top_float(source: str, order: str = "round(dist, 9), id") -> str:
+    return "SELECT qid, rank, id, round(dist, 6) + 0.0 AS dist FROM (" + _top(source, order) + ")"
 
 
-ORACLE_SQL = {name: _whole(sql) for name, sql in _SQL.items()}
+_FLOAT_SQL = {
+    "flat_knn_float": _top_float("flat"),
+    "flat_ip_float": _top_float("(SELECT q.id AS qid, b.id, SUM(q.x * b.x) AS dist FROM e q JOIN e b ON q.d = b.d WHERE q.id % 20 = 0 GROUP BY 1, 2)", "round(dist, 9) DESC, id"),
+    "ivf_flat_float": _top_float("(SELECT flat.* FROM flat JOIN asg USING (id) JOIN pr ON pr.qid = flat.qid AND pr.cid = asg.cid)"),
+    "ivf_all_probes_float": _top_float("flat"),
+    "ivfpq_float": _top_float("adc"),
+    "ivfpq_plan_float": _top_float("adc"),
+    "ivf_join_float": _top_float("adc"),
+    "refined_float": _top_float("(SELECT flat.* FROM flat JOIN (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS n FROM adc) WHERE n <= 50) c USING (qid, id))"),
+}
+
+ORACLE_SQL = {name: _whole(sql) for name, sql in _SQL.items()} | {name: _whole(sql, True) for name, sql in _FLOAT_SQL.items()}
 ORACLE_SQL["lineitem_search"] = """
 WITH v AS (SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS id, CAST(floor(l_quantity * 100) AS BIGINT) AS a, CAST(floor(l_extendedprice * CAST(0.1 AS DOUBLE)) AS BIGINT) AS b, CAST(floor(l_discount * 10000) AS BIGINT) AS c, CAST(floor(l_tax * 10000) AS BIGINT) AS d FROM lineitem),
 q AS (SELECT * FROM v WHERE id % 20 = 0),

@@ -8,6 +8,9 @@ are dealt to tasks by byte ranges. Columns: id (record number over the files in
 from __future__ import annotations
 
 import os
+import re
+import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -25,7 +28,10 @@ def _fs(path: str):
     """(pyarrow file system, path) of a local path or of a URI that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    scheme, rest = path.split(":", 1)
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}") if scheme == "file" else fs.FileSystem.from_uri(path)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -125,14 +131,19 @@ class Reader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    pass
+    def __init__(self, task: int, file: str):
+        self.task, self.file = task, file
 
 
 class Writer(DataSourceArrowWriter):
-    """Records with their own dimension, one file per task, in the tasks' order; ids aren't stored."""
+    """Records with their own dimension, a file per task; ids aren't stored.
 
-    def __init__(self, options):
-        self.kind, self.path = options.get("kind", "fvecs"), options["path"]
+    A task writes a hidden file; the commit gives the files of all tasks names that follow those in the folder, in the
+    tasks' order, so an append comes after what is there. An abort takes the hidden files away.
+    """
+
+    def __init__(self, options, overwrite: bool):
+        self.kind, self.path, self.overwrite, self.job = options.get("kind", "fvecs"), options["path"], overwrite, uuid.uuid4().hex
         if not KINDS.get(self.kind, (0, 0, False))[2]:
             raise ValueError(f"kind {self.kind!r} can't be written")
 
@@ -140,16 +151,48 @@ class Writer(DataSourceArrowWriter):
         import numpy as np
         from pyspark import TaskContext
 
+        from vecloom.functions import kernels
+
         f, p = _fs(self.path)
         f.create_dir(p)
-        kind, task = KINDS[self.kind][0], TaskContext.get()
-        to = f"{p}/part-{task.partitionId():05d}.{self.kind}"
-        with f.open_output_stream(f"{p}/_{task.taskAttemptId()}") as h:
+        kind, task, d = np.dtype(KINDS[self.kind][0]), TaskContext.get(), None
+        file = f"{p}/_{self.job}-{task.taskAttemptId()}"
+        with f.open_output_stream(file) as h:
             for b in batches:
-                for v in b.column(b.schema.get_field_index("v")).to_pylist():
-                    h.write(np.array([len(v)], "<i4").tobytes() + np.array(v, kind).tobytes())
-        f.move(f"{p}/_{task.taskAttemptId()}", to)  # a task that runs again puts the same file in place
-        return Written()
+                if not b.num_rows:
+                    continue
+                column = b.column(b.schema.get_field_index("v"))
+                if column.null_count or column.flatten().null_count:
+                    raise ValueError("vectors and their elements can't be null")
+                if len(sizes := set(np.diff(column.offsets.to_numpy()).tolist()) | ({d} if d else set())) > 1:
+                    raise ValueError(f"vectors have different dimensions: {sorted(sizes)[:2]}")
+                v = kernels.matrix(column, kind)
+                d = v.shape[1]
+                rows = np.empty((len(v), 4 + d * kind.itemsize), np.uint8)
+                rows[:, :4] = np.frombuffer(np.array([d], "<i4").tobytes(), np.uint8)
+                rows[:, 4:] = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1)
+                h.write(rows.tobytes())
+        return Written(task.partitionId(), file)
+
+    def commit(self, messages) -> None:
+        f, p = _fs(self.path)
+        there = [file for file, _ in _files(self.path)]
+        if self.overwrite:
+            for file in there:
+                f.delete_file(file)
+            there = []
+        batch = max((int(m[1]) for x in there if (m := re.search(r"/part-(\d+)-\d+\.\w+$", x))), default=-1) + 1
+        for m in sorted((m for m in messages if m), key=lambda m: m.task):
+            f.move(m.file, f"{p}/part-{batch:05d}-{m.task:05d}.{self.kind}")
+
+    def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        f, p = _fs(self.path)
+        if f.get_file_info(p).type == fs.FileType.Directory:
+            for x in f.get_file_info(fs.FileSelector(p)):
+                if x.base_name.startswith(f"_{self.job}"):
+                    f.delete_file(x.path)
 
 
 class Vecs(DataSource):
@@ -165,15 +208,21 @@ class Vecs(DataSource):
         return Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options)
+        return Writer(self.options, overwrite)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: one without is in the default file system of Spark's configuration, as for Spark's own sources."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().replace("file:/", "file:///", 1)
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs", start: int = 0, limit: int = -1) -> DataFrame:
     spark.dataSource.register(Vecs)
-    return spark.read.format("vecs").option("kind", kind).option("start", start).option("limit", limit).load(path)
+    return spark.read.format("vecs").option("kind", kind).option("start", start).option("limit", limit).load(qualified(spark, path))
 
 
-def write_vecs(df: DataFrame, path: str, kind: str = "fvecs") -> None:
-    """df (v), in the order of its partitions."""
+def write_vecs(df: DataFrame, path: str, kind: str = "fvecs", mode: str = "append") -> None:
+    """df (v), in the order of its partitions. mode append: after the records that are there; overwrite: in their place."""
     df.sparkSession.dataSource.register(Vecs)
-    df.write.format("vecs").option("kind", kind).mode("append").save(path)
+    df.select("v").write.format("vecs").option("kind", kind).mode(mode).save(qualified(df.sparkSession, path))
