@@ -453,12 +453,6 @@ def test_near_duplicates_larger_than_a_block(spark, monkeypatch):
     assert bag(near_dup.near_duplicates(df), "doc_id", "class_id", "n_links", "n_class") == brute_classes(rows)
 
 
-def test_recall_of_prefixes():
-    k = near_dup.prefix_length()
-    assert 1 - (1 - near_dup.THRESHOLD**k) ** near_dup.TREES >= near_dup.RECALL > 1 - (1 - near_dup.THRESHOLD ** (k + 1)) ** near_dup.TREES
-    assert near_dup.prefix_length(0.5, 0.9, 64, 3) == 3 and near_dup.prefix_length(1.0) == 1
-
-
 def test_chains_are_connected(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (5, 5)], "a bigint, b bigint")

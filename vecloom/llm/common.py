@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.session import shared_folder
+
 #: White space between words, as the character class of the word contract `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -19,12 +20,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_vecloom_scratch", None) or tempfile.mkdtemp(prefix="vecloom-")
-        spark._vecloom_scratch = at
+    """The folder that driver and executors share, also set as the checkpoints' folder where none is."""
+    at, sc = shared_folder(spark), spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at
@@ -40,11 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: 1000 rows where the session has Spark's default of 10,000, so that long texts fit in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+def portions(batch, column: int, rows: int = 1000, size: int = 8 << 20):
+    """An Arrow batch in slices of at most `rows` rows and about `size` bytes in one text column (a longer text alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if batch.num_rows <= 1:
+        return [batch] if batch.num_rows else []
+    upto = np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64).cumsum()])
+    out, at = [], 0
+    while at < batch.num_rows:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1))
+        out.append(batch.slice(at, end - at))
+        at = end
+    return out
 
 
 def cache(name: str, make):
@@ -89,12 +95,11 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: tuple[in
 
 
 def append(df: DataFrame, fields: list[tuple[str, str]], column: str, make) -> DataFrame:
-    """df with columns that `make` computes from one column, in Arrow batches.
+    """df with columns that `make` computes from one text column, in Arrow batches, a few megabytes of text at a time.
 
     make() runs once a task and gives a function from that column's Arrow array to the new columns' arrays.
     fields: (name, Spark type) of the new columns; columns of df with these names, in any case, are replaced.
     """
-    small_batches(df.sparkSession)
     new = {name.lower() for name, _ in fields}
     clash = [c for c in df.columns if c.lower() in new and c != column]
     names = [c for c in df.columns if c not in clash]
@@ -106,8 +111,8 @@ def append(df: DataFrame, fields: list[tuple[str, str]], column: str, make) -> D
         import pyarrow as pa
 
         apply = make()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in portions(whole, at):
                 yield pa.RecordBatch.from_arrays([*b.columns, *apply(b.column(at))], all_names)
 
     return df.mapInArrow(run, schema)
