@@ -1,6 +1,11 @@
 import random
+import tracemalloc
 
-from vecloom.llm.decontaminate import Index, find
+import pytest
+
+from vecloom.llm.decontaminate import Index, find, keep_clean, with_hits
+
+PASSAGE = "A passage of the benchmark, long enough that no document has it by chance."
 
 
 def brute(item: str, text: str) -> int:
@@ -50,7 +55,7 @@ def test_same_as_brute_force():
 
 def test_edges():
     index = Index([(1, ""), (2, None), (3, " \n"), (4, "Tiny"), (5, "A passage of some more words than the others")])
-    assert find(index, [None, "", "so tiny", "nothing"]) == [[], [], [(4, 3, 7, 0)], []]
+    assert find(index, [None, "", "so tiny", "nothing"]) == [[]] * 4
     twice = "a passage of some more words than\nthe others. " * 2
     assert [h[:2] for h in find(index, [twice])[0]] == [(5, 0), (5, 46)]
     assert find(Index([]), ["x"]) == [[]]
@@ -63,3 +68,45 @@ def test_long_text_in_parts(monkeypatch):
     passage = "the quick brown fox jumps over the lazy dog again and again"
     text = "lorem ipsum dolor " * 20 + passage + " sit amet" * 30
     assert [h[3] for h in find(Index([(9, passage)]), [text])[0]] == [0]
+
+
+def test_short_passages_are_whole_words_and_answers_are_none():
+    index = Index([(1, "yes"), (2, "the capital of"), (3, "(c) 12,345 items sold"), (4, "42")])
+    assert len(index.items) == 2
+    assert find(index, ["yesterday yes 42", "The capital of France", "the capital offence", "x(C) 12,345 items sold.", "(c) 12,345 items soldiers"]) == [[], [(2, 0, 14, 0)], [], [(3, 1, 22, 0)], []]
+    with pytest.raises(ValueError):
+        Index([], least=3)
+
+
+def test_short_answers_keep_documents(spark):
+    docs = spark.createDataFrame([(1, "yes, that is so, said the old man by the sea"), (2, PASSAGE + " and more")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "said the old man"), (3, PASSAGE)], "item_id bigint, text string")
+    assert [r["doc_id"] for r in keep_clean(docs, bench).collect()] == [1]
+    assert {(r["doc_id"], h["item_id"]) for r in with_hits(docs, bench).collect() for h in r["hits"]} == {(1, 2), (2, 3)}
+
+
+def test_many_short_passages_in_bounded_memory():
+    """30,000 passages of some 35 characters with many common words, and a text of one part and more: under 500 MB."""
+    rng = random.Random(4)
+    words = ["of the", "in the", "and", "that", "which", *("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))]
+    items = [(k, " ".join(rng.choice(words) for _ in range(7))[:36]) for k in range(30_000)]
+    text = " ".join(rng.choice(words) for _ in range(60_000)) + " " + items[77][1] + " end"
+    index = Index(items)
+    tracemalloc.start()
+    hits = find(index, [text])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert any(h[0] == 77 and h[3] == 0 for h in hits) and most < 500e6, most
+
+
+def test_halved_parts_find_the_same(monkeypatch):
+    import vecloom.llm.decontaminate as d
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices(["th", "er", "on"], k=rng.randint(1, 3))) for _ in range(n))
+    items = [(k, prose(rng.randint(6, 30))) for k in range(40)]
+    texts = [prose(200) + edited(rng, rng.choice(items)[1], rng.choice([0, 1, 2])) + prose(300) for _ in range(12)]
+    index = Index(items)
+    want = find(index, texts)
+    monkeypatch.setattr(d, "MOST_HITS", 500)
+    assert find(index, texts) == want and sum(map(len, want)) > 8

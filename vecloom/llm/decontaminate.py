@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import append, documents, unused
+from vecloom.llm.common import append, cache, documents, unused
 
 Q = 7
 #: Edits allowed for each character of a passage.
 RATE = 0.08
-#: Characters of benchmark passages that are broadcast at once; more go in further passes over the documents.
+#: Characters that a passage must have to be looked for. Shorter items are answers ("yes", "42") that any text may hold.
+LEAST = 13
+#: Passages of fewer characters count only where they begin and end with a word of the text.
+WORDS_BELOW = 50
+#: Characters that a passage must have for a document to go because of it.
+LEAST_DROPPED = 50
+#: Characters of benchmark passages in an index; larger benchmarks have several, which a task uses in turn.
 BLOCK_CHARS = 1 << 20
 #: Characters of text that are looked at together; longer texts are cut in parts that overlap by the longest passage.
 PART = 1 << 18
+#: Shared q-grams of a text's part and the passages that are looked at together, about; parts with more are halved.
+MOST_HITS = 1 << 21
 
 HITS = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: int>>"
 
@@ -48,10 +60,12 @@ def grams(a, q: int):
 class Index:
     """Passages of one block: sorted q-gram hashes with the places where they occur."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, least: int = LEAST):
         import numpy as np
 
-        self.q, self.items = q, [(i, code_points(t)) for i, t in items if t and not t.isspace()]
+        if least < q:
+            raise ValueError(f"passages of {least} characters have no {q}-gram")
+        self.q, self.items = q, [(i, code_points(t)) for i, t in items if t and len(t.strip()) >= least]
         self.edits, self.bound = [], []
         for _, a in self.items:
             e = int(rate * len(a))
@@ -59,7 +73,6 @@ class Index:
                 e -= 1
             self.edits.append(e)
             self.bound.append(max(1, len(a) - q + 1 - q * e))
-        self.short = [k for k, (_, a) in enumerate(self.items) if len(a) < q]  # too short for a q-gram: found as they are
         found = [(grams(a, q), k) for k, (_, a) in enumerate(self.items)]
         h = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in found)])
         item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k, np.int64) for g, k in found)])
@@ -74,8 +87,8 @@ class Index:
         self.margin = self.longest + max(self.edits, default=0)
 
 
-def _hits(index: Index, a):
-    """(item, text place minus item place, text place) of all shared q-grams."""
+def _shared(index: Index, a):
+    """(places in the text, number of the q-gram there) of all q-grams that passages have too."""
     import numpy as np
 
     h = grams(a, index.q)
@@ -83,7 +96,13 @@ def _hits(index: Index, a):
     g = np.searchsorted(index.hashes, h[p])
     g[g == len(index.hashes)] = 0
     ok = index.hashes[g] == h[p] if len(index.hashes) else np.zeros(len(p), bool)
-    p, g = p[ok], g[ok]
+    return p[ok], g[ok]
+
+
+def _hits(index: Index, p, g):
+    """(item, text place minus item place, text place) of all shared q-grams, one for each place in a passage."""
+    import numpy as np
+
     n = index.count[g]
     place = np.repeat(index.first[g] - np.concatenate([[0], n.cumsum()[:-1]]) if len(n) else n, n) + np.arange(n.sum())
     p = np.repeat(p, n)
@@ -117,11 +136,8 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int
 
     Of overlapping places of one passage the one with least edits stays, then the first.
     """
-    import numpy as np
-
-    parts, group, size = [], [], 0
-    for k, t in enumerate(texts):
-        a = code_points(t or "")
+    parts, group, size, whole = [], [], 0, [code_points(t or "") for t in texts]
+    for k, a in enumerate(whole):
         for s in range(0, max(1, len(a)), PART):
             group.append((k, s, a[s : s + PART + index.margin]))
             size += len(group[-1][2])
@@ -133,7 +149,13 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int
     for group in parts:
         if group and index.items:
             _find_part(index, group, found)
-    return [_distinct(x) for x in found]
+    return [_distinct({(index.items[k][0], s, e, n) for k, s, e, n in x if len(index.items[k][1]) >= WORDS_BELOW or _words(a, s, e)}) for a, x in zip(whole, found)]
+
+
+def _words(a, start: int, end: int) -> bool:
+    """Whether no word of the text goes on over either end of the place."""
+    joined = lambda i: 0 < i < len(a) and chr(a[i - 1]).isalnum() and chr(a[i]).isalnum()
+    return not joined(start) and not joined(end)
 
 
 def _distinct(found: set) -> list[tuple[int, int, int, int]]:
@@ -157,30 +179,29 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
         at += len(a) + len(gap)
     starts = np.array(starts)
     whole = np.concatenate(pieces)
-    for k in index.short:
-        item = index.items[k][1]
-        if len(item):
-            same = np.ones(max(0, len(whole) - len(item) + 1), bool)
-            for j, c in enumerate(item):
-                same &= whole[j : j + len(same)] == c
-            for p in np.flatnonzero(same).tolist():
-                g = int(np.searchsorted(starts, p, side="right")) - 1
-                s = p - int(starts[g]) + group[g][1]
-                found[group[g][0]].add((index.items[k][0], s, s + len(item), 0))
-    item, diagonal, p = _hits(index, whole)
-    if not len(item):
+    p, g = _shared(index, whole)
+    if not len(p):
         return
+    if int(index.count[g].sum()) > MOST_HITS:
+        k, off, a = group[0]
+        middle = len(a) // 2
+        halves = [group[: len(group) // 2], group[len(group) // 2 :]] if len(group) > 1 else [[(k, off, a[: middle + index.margin])], [(k, off + middle, a[middle:])]]
+        if len(group) > 1 or len(a) > 4 * index.margin:
+            for half in halves:
+                _find_part(index, half, found)
+            return
+    item, diagonal, p = _hits(index, p, g)
     n, bound, width = len(index.items), np.array(index.bound), np.array(index.edits) + 1
     # A place of a passage lies in two neighbouring windows of the text. Windows where these two share fewer q-grams
     # with it in all than the bound asks of one band are out.
     window = 1 << int(index.margin).bit_length()
-    bins = (p // window) * n + item
-    count = np.bincount(bins, minlength=(len(whole) // window + 2) * n).reshape(-1, n)
+    bins, back, count = np.unique((p // window) * n + item, return_inverse=True, return_counts=True)
     near = np.zeros_like(count)
-    near[1:] = count[:-1]
-    near[:-1] = np.maximum(near[:-1], count[1:])
+    for other in (bins - n, bins + n):
+        there = np.searchsorted(bins, other).clip(0, len(bins) - 1)
+        near = np.maximum(near, np.where(bins[there] == other, count[there], 0))
     part = np.searchsorted(starts, p, side="right") - 1
-    on = ((count + near) >= bound).ravel()[bins]
+    on = (count + near >= bound[bins % n])[back]
     item, diagonal, pair = item[on], diagonal[on] - starts[part[on]] + index.margin, (part * n + item)[on]
     # Bands of 2 * width diagonals start at each multiple of width: those of any alignment within the budget lie in one.
     band = diagonal // width[item]
@@ -190,7 +211,7 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
     keep = count >= bound[pair % n]
     pair, band = pair[keep], key[keep] % slots - 1
     for k in np.unique(pair % n).tolist():
-        ident, pattern = index.items[k]
+        pattern = index.items[k][1]
         w = int(width[k])
         mine = np.flatnonzero(pair % n == k)
         for s in range(0, len(mine), 256):
@@ -206,7 +227,7 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
             for g, low, e, f, z in zip((pair[some] // n).tolist(), lows.tolist(), edits.tolist(), first.tolist(), end.tolist()):
                 if e <= index.edits[k]:
                     doc, off, a = group[g]
-                    found[doc].add((ident, max(0, f + low) + off, min(len(a), z + low) + off, e))
+                    found[doc].add((k, max(0, f + low) + off, min(len(a), z + low) + off, e))
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS):
@@ -222,44 +243,51 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", c
         yield some
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", q: int = Q, rate: float = RATE) -> DataFrame:
-    """docs with the benchmark passages in each whole text, as an array of (item_id, start, end, edits).
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits", q: int = Q, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """docs with the benchmark passages in each whole text, as an array of (item_id, start, end, edits) in order of place.
 
     A passage of L characters counts if rate * L edits at most turn it into a part of the text; letter case and kinds
     of white space don't count as edits. By the q-gram lemma such a place shares at least L - q + 1 - q * edits q-grams
-    on neighbouring diagonals. Short passages get fewer edits, so that this bound is 1 at least; those shorter than q
-    are found as they are; null and blank ones never. Null and empty texts have no hits; equal texts have equal hits;
-    without passages every array is empty. Passages are broadcast in blocks of bounded size, one pass over the
-    documents for each.
+    on neighbouring diagonals. Short passages get fewer edits, so that this bound is 1 at least, and below WORDS_BELOW
+    characters must be whole words of the text; those of fewer than `least` characters, null and blank ones are never
+    found. Null and empty texts have no hits; equal texts have equal hits; without passages every array is empty.
+    The passages are broadcast; a task reads its documents once and takes them through one index after the other,
+    BLOCK_CHARS of passages at a time, so neither an index nor the plan grows with the benchmark.
     """
-    spark, empty = docs.sparkSession, F.array().cast(HITS)
-    names, got = [c for c in docs.columns if c.lower() != out.lower()], []
-    df = docs.select(*(F.col(f"`{c}`") for c in names))
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    spark = docs.sparkSession
+    # Packed, since a worker keeps what it has read of them.
+    parts, token = [spark.sparkContext.broadcast(zlib.compress(json.dumps(items).encode("utf-8", "surrogatepass"))) for items in blocks(benchmark)], uuid.uuid4().hex
+
+    def make():
+        import pyarrow as pa
 
-        def make(shared=shared):
-            import pyarrow as pa
+        def index(k):
+            held = cache("passages", dict)
+            if held.get("of") != (token, k):
+                held.clear()  # one index at a time
+                held.update(of=(token, k), index=Index(json.loads(zlib.decompress(parts[k].value)), q, rate, least))
+            return held["index"]
 
-            index = Index(shared.value, q, rate)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+        names = ("item_id", "start", "end", "edits")
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
 
-            def apply(texts):
-                rows = find(index, texts.to_pylist())
-                return [pa.array([[dict(zip(("item_id", "start", "end", "edits"), x)) for x in r] for r in rows], kind)]
+        def apply(texts):
+            data = texts.to_pylist()
+            rows = [[] for _ in data]
+            for k in range(len(parts)):
+                for row, found in zip(rows, find(index(k), data)):
+                    row += found
+            return [pa.array([[dict(zip(names, x)) for x in sorted(r, key=lambda x: (x[1], x[2], x[0]))] for r in rows], kind)]
 
-            return apply
+        return apply
 
-        got.append(unused(df, f"hits_{len(got)}"))
-        df = append(df, [(got[-1], HITS)], text, make)
-    hits = F.flatten(F.array(*(F.col(f"`{c}`") for c in got))) if got else empty
-    return df.select(*(F.col(f"`{c}`") for c in names), hits.alias(out))
+    return append(docs, [(out, HITS)], text, make)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without a benchmark passage, with the columns of docs only."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST_DROPPED) -> DataFrame:
+    """The documents without a benchmark passage of at least `least` characters, with the columns of docs only."""
     hits = unused(docs, "hits")
-    return with_hits(docs, benchmark, text, hits).where(F.size(hits) == 0).drop(hits)
+    return with_hits(docs, benchmark, text, hits, least=least).where(F.size(hits) == 0).drop(hits)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
