@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.session import shared_folder
+from vecloom.session import shared_folder, stored
 
 #: White space between words, as the character class of the word contract `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,10 +74,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: tuple[int, int], per_class: int) -> DataFrame:
-    """(text, y) of at most `per_class` labelled documents of each class, fold[1] of crc32 mod fold[0] held out.
+#: Bytes of all texts of a labelled sample, at most.
+SAMPLE_BYTES = 64 << 20
 
-    The bound is that parameter, not a share of the corpus. Rows are drawn in the order of a hash of the id, so
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: tuple[int, int], per_class: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `per_class` labelled documents of each class and `most_bytes` of text, fold[1] of crc32 mod fold[0] held out.
+
+    The bounds are these parameters, not a share of the corpus. Rows are drawn in the order of a hash of the id; where
+    their texts are larger in all than most_bytes, those that fit in that order are taken, each whole. So
     every run draws the same ones. Ids with contradicting labels and null labels or ids are left out; of the
     documents that share an id one is taken. Only the drawn ids (2 * per_class of them) are broadcast.
     """
@@ -91,7 +96,14 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: tuple[in
     drawn = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     drawn = drawn[0].unionAll(drawn[1])
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = stored(docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")), "sample")
+    left, over = most_bytes, []
+    for r in sorted(rows.select("doc_id", F.octet_length("text").alias("n"), order.alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):  # 2 * per_class rows
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            over.append(r["doc_id"])
+    return rows.where(~F.col("doc_id").isin(over)) if over else rows
 
 
 def append(df: DataFrame, fields: list[tuple[str, str]], column: str, make) -> DataFrame:

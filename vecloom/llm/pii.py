@@ -67,7 +67,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- Candidates --------------------------------------------------------------------------------------------------
 
-_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?(?:@|[(\[{]at[)\]}])[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\.|[(\[{]dot[)\]}])[ ]?[A-Za-z0-9-]{1,63}){1,8}", re.I)
+# Starts at the beginning of a run of characters that may stand before the at sign, so that a long run is read once. A
+# plain dot joins labels where no space follows alone: the next sentence isn't part of an address.
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[ ]?(?:@|[(\[{]at[)\]}])[ ]?[A-Za-z0-9-]++(?:(?:\.|[ ]\.[ ]?|[ ]?[(\[{]dot[)\]}][ ]?)[A-Za-z0-9-]++)++", re.I)
 _NUMBER = re.compile(r"\+?\(?(?<![0-9])[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+")
 _QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|[(\[{]dot[)\]}]) ?[0-9]{1,3}){3}(?![0-9])", re.I)
 _KEYED = re.compile(r"\b(?:[a-z]{1,20}[_-])?(?:token|secret|passwd|password|pwd|key|auth|bearer)\b[\"']?\s{0,2}[:=]\s{0,2}[\"']?([^\s\"'<>,;]{6,}+)", re.I)

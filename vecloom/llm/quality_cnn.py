@@ -93,6 +93,26 @@ def probabilities(model: dict, texts: list[bytes | None]) -> list[float]:
     return out
 
 
+def gradient(model: dict, x, y: int, weight: float, g: dict) -> None:
+    """Adds to g the gradient of weight times the log loss for blocks x and label y: only the chunks that win the maximum have one."""
+    import numpy as np
+
+    top, at = pooled(model, x)
+    h = np.maximum(top, 0)
+    p = 1 / (1 + np.exp(-np.clip(h @ model["out"] + model["offset"][0], -30, 30)))
+    d = weight * (p - y)
+    g["out"] += d * h
+    g["offset"] += d
+    dz = (d * model["out"] * (top > 0)).astype(model["out"].dtype)
+    g["bias"] += dz
+    for half in (0, 1):
+        chunk = x[at + half]
+        e = model["embed"][chunk].reshape(FILTERS, -1)
+        cols = slice(half * FILTERS, (half + 1) * FILTERS)
+        g["filters"][:, cols] += e.T * dz
+        np.add.at(g["embed"], chunk, (model["filters"][:, cols].T * dz[:, None]).reshape(FILTERS, HALF, EMBED))
+
+
 def fit(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = 32, rate: float = 3e-3, seed: int = 5) -> dict:
     """Adam on the log loss of (text, label) rows, classes weighed alike; only the chunks that win the maximum get gradients.
 
@@ -116,20 +136,7 @@ def fit(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = 32, ra
             g = {k: np.zeros_like(x) for k, x in model.items()}
             for j in order[i : i + batch]:
                 x, y = data[j]
-                top, at = pooled(model, x)
-                h = np.maximum(top, 0)
-                p = 1 / (1 + np.exp(-np.clip(h @ model["out"] + model["offset"][0], -30, 30)))
-                d = weight[y] * (p - y) / batch
-                g["out"] += d * h
-                g["offset"] += d
-                dz = (d * model["out"] * (top > 0)).astype(np.float32)
-                g["bias"] += dz
-                for half in (0, 1):
-                    chunk = x[at + half]
-                    e = model["embed"][chunk].reshape(FILTERS, -1)
-                    cols = slice(half * FILTERS, (half + 1) * FILTERS)
-                    g["filters"][:, cols] += e.T * dz
-                    np.add.at(g["embed"], chunk, (model["filters"][:, cols].T * dz[:, None]).reshape(FILTERS, HALF, EMBED))
+                gradient(model, x, y, weight[y] / batch, g)
             step += 1
             now = rate * (1 - 0.9 * step / total)
             for k in model:

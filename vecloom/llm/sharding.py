@@ -161,8 +161,8 @@ def shuffle_to_shards(df: DataFrame, shards: int = 8, seed: int = 17, cell_rows:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 7 by the law `rows`. Whole rows are exchanged; the digest is of what arrives."""
+    """All documents in shards 0 to 7 by the law `rows`. Whole rows, all columns, are exchanged; the digest is of what arrives."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return shuffle_to_shards(documents(spark, sf_dir).select("doc_id", "text")).select(
+    return shuffle_to_shards(documents(spark, sf_dir)).select(
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

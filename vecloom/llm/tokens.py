@@ -7,6 +7,7 @@ new ones to the tokenizers library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -65,19 +66,39 @@ class _Chunks(dict):
         self.clear()
 
 
+def splits_alike(tokenizer: dict) -> bool:
+    """Whether a tokenizer file is of the form whose texts may be cut in chunks: plain byte-level BPE, no normalizer, the
+    usual splitting without a blank put before the text, and no added token that could lie across a cut."""
+    model, before = tokenizer.get("model") or {}, tokenizer.get("pre_tokenizer") or {}
+    return (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and not tokenizer.get("normalizer")
+        and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+        and all(re.fullmatch(rf"[{_P}][^{_W}]*", t["content"]) and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in tokenizer.get("added_tokens") or ())
+    )
+
+
 class Encoder:
-    """Encodes texts as unsigned little-endian 32-bit ids. remembered: chunks of a generation."""
+    """Encodes texts as unsigned little-endian 32-bit ids. remembered: chunks of a generation.
+
+    Tokenizers that split otherwise than splits_alike asks get whole texts.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.chunk, self.remembered = re.compile(_CHUNK), remembered
-        self.chunks = _Chunks(Tokenizer.from_file(path))
+        self.chunk, self.remembered, self.tokenizer = re.compile(_CHUNK), remembered, Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.cuts = splits_alike(json.load(f))
+        self.chunks = _Chunks(self.tokenizer)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.cuts:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.chunks) > self.remembered:
             self.chunks.turn()
         return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
