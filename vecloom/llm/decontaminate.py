@@ -24,8 +24,10 @@ LEAST_DROPPED = 50
 BLOCK_CHARS = 1 << 20
 #: Characters of text that are looked at together; longer texts are cut in parts that overlap by the longest passage.
 PART = 1 << 18
-#: Shared q-grams of a text's part and the passages that are looked at together, about; parts with more are halved.
+#: Shared q-grams of a text's part and the passages, and counts of windows and passages, that are looked at together,
+#: about; parts with more are halved.
 MOST_HITS = 1 << 21
+MOST_CELLS = 1 << 21
 
 HITS = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: int>>"
 
@@ -182,7 +184,8 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
     p, g = _shared(index, whole)
     if not len(p):
         return
-    if int(index.count[g].sum()) > MOST_HITS:
+    window = 1 << int(index.margin).bit_length()
+    if int(index.count[g].sum()) > MOST_HITS or len(whole) // window * len(index.items) > MOST_CELLS:
         k, off, a = group[0]
         middle = len(a) // 2
         halves = [group[: len(group) // 2], group[len(group) // 2 :]] if len(group) > 1 else [[(k, off, a[: middle + index.margin])], [(k, off + middle, a[middle:])]]
@@ -194,14 +197,13 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
     n, bound, width = len(index.items), np.array(index.bound), np.array(index.edits) + 1
     # A place of a passage lies in two neighbouring windows of the text. Windows where these two share fewer q-grams
     # with it in all than the bound asks of one band are out.
-    window = 1 << int(index.margin).bit_length()
-    bins, back, count = np.unique((p // window) * n + item, return_inverse=True, return_counts=True)
+    bins = (p // window) * n + item
+    count = np.bincount(bins, minlength=(len(whole) // window + 2) * n).reshape(-1, n)
     near = np.zeros_like(count)
-    for other in (bins - n, bins + n):
-        there = np.searchsorted(bins, other).clip(0, len(bins) - 1)
-        near = np.maximum(near, np.where(bins[there] == other, count[there], 0))
+    near[1:] = count[:-1]
+    near[:-1] = np.maximum(near[:-1], count[1:])
     part = np.searchsorted(starts, p, side="right") - 1
-    on = (count + near >= bound[bins % n])[back]
+    on = ((count + near) >= bound).ravel()[bins]
     item, diagonal, pair = item[on], diagonal[on] - starts[part[on]] + index.margin, (part * n + item)[on]
     # Bands of 2 * width diagonals start at each multiple of width: those of any alignment within the budget lie in one.
     band = diagonal // width[item]
