@@ -9,7 +9,9 @@ from vecloom.llm.common import documents
 from vecloom.llm.tokens import encoder, tokenizer_path
 
 #: Bytes of texts whose ids one task packs. Ids take about as many bytes, four times as many at most.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: Chunks of a generation that the encoder remembers here, less than where nothing but ids is made.
+REMEMBERED = 200_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -19,7 +21,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     def run(batches):
         import pyarrow as pa
 
-        enc, last = encoder(path), int(end_id).to_bytes(4, "little")
+        enc, last = encoder(path, REMEMBERED), int(end_id).to_bytes(4, "little")
         for b in batches:
             kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             rows: list[tuple] = []

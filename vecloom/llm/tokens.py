@@ -104,6 +104,6 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process."""
-    return cache(f"encoder {path}", lambda: Encoder(path))
+    return cache(f"encoder {path} {remembered}", lambda: Encoder(path, remembered))
