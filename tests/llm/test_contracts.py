@@ -277,8 +277,16 @@ def test_sample_is_bounded_in_bytes(spark, tmp_path):
     assert got.count() >= 70 and bag(got, "doc_id") == bag(common.labelled_sample(spark, str(tmp_path), "toxic", (5, 0), 1000, 50_000), "doc_id")
 
 
-def test_settings_of_the_session_stay(spark):
+def test_settings_of_the_session_stay(spark, model):
+    """Operators set nothing; queries choose small batches where the session's owner has chosen none."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    QUERIES["op10_pii"](spark, SF).count()
-    assert spark.conf.get(key) == before
+    before = dict(spark.conf.getAll)
+    spark.conf.unset(key)
+    pii.with_spans(spark.read.parquet(f"{SF}/documents.parquet"), model=model).count()
+    assert key not in spark.conf.getAll
+    common.small_batches(spark)
+    assert spark.conf.get(key) == "1000"
+    spark.conf.set(key, "10000")
+    common.small_batches(spark)
+    assert spark.conf.get(key) == "10000"
+    spark.conf.set(key, before[key]) if key in before else spark.conf.unset(key)

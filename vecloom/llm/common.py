@@ -15,7 +15,18 @@ from vecloom.session import shared_folder, stored
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows, unless the session's owner has chosen a number: whole texts of 10,000 rows take some 300 MB more of an executor.
+
+    For applications (the registered queries, the pipeline); operators leave the session as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll and spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -31,13 +42,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def gathered(df: DataFrame, amount: int, per: int) -> DataFrame:
+    """df in partitions of about `per` of its `amount` (rows or bytes), two for each core at least, where it has more: not a file for each of many nearly empty tasks."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-amount // per)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: lineage ends there and the rows survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def portions(batch, column: int, rows: int = 1000, size: int = 8 << 20):
+def portions(batch, column: int, rows: int = 1000, size: int = 2 << 20):
     """An Arrow batch in slices of at most `rows` rows and about `size` bytes in one text column (a longer text alone)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import append, cut, documents, fresh_path, unused
+from vecloom.llm.common import append, cut, documents, fresh_path, gathered, unused
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -16,9 +16,12 @@ RECALL = 0.9999
 NODE_TEXTS = 8192
 #: Texts of a block, and bytes of their texts; a candidate group of more is compared block by block.
 BLOCK = 512
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Columns of the shingle matrix that are multiplied at once.
 COLUMNS = 4096
+#: Rows of numbers that a task handles, about, and rows of signatures.
+PART_ROWS = 100_000
+PART_TEXTS = 5_000
 SEED = 1
 
 
@@ -166,12 +169,13 @@ def forest(texts: DataFrame, trees: int, depth: int, threshold: float, recall: f
     """
     spark, shortest, values, node_texts = texts.sparkSession, shortest_prefix(recall, threshold, trees, depth), trees * depth, node_texts or NODE_TEXTS
     path = lambda k: F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * k})"))
-    leaves = texts.select("h1", F.posexplode("labels").alias("tree", "label")).withColumn("node", path(shortest))
+    leaves = texts.select("h1", F.posexplode("labels").alias("tree", "label")).select("h1", "tree", path(shortest).alias("node"))
     shared = leaves.groupBy("node").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("node")
-    matched = leaves.join(shared, "node").select("h1", "tree", "label").join(texts.select("h1", "sketch"), "h1")
+    matched = leaves.join(shared, "node").select("h1", "tree").join(texts.select("h1", "sketch", "labels"), "h1").select("h1", "tree", F.get("labels", F.col("tree")).alias("label"), "sketch")
     at = fresh_path(spark, "near-dup-trie")
-    matched.write.parquet(at)
+    gathered(matched, trees * texts.count(), 10 * PART_ROWS).write.parquet(at)
     matched, done, ties = spark.read.parquet(at), None, []
+    n = matched.count()
     for k in range(depth, shortest - 1, -1):
         rows = matched.withColumn("node", path(k))
         rows = rows.withColumn("short", F.lit(True)) if done is None else rows.join(done, "h1", "left").withColumn("short", F.col("done").isNull()).drop("done")
@@ -212,12 +216,12 @@ def forest(texts: DataFrame, trees: int, depth: int, threshold: float, recall: f
             if kept:
                 yield one(pa.Table.from_batches(kept).combine_chunks())
 
-        rows = rows.repartition(F.col("node"), F.col("x"), F.col("y")).sortWithinPartitions("node", "x", "y", "h1")
+        rows = gathered(rows.repartition(F.col("node"), F.col("x"), F.col("y")), n, PART_ROWS // 4).sortWithinPartitions("node", "x", "y", "h1")
         got = cut(rows.mapInArrow(look, "a bigint, b bigint, there double, found double"))
         ties.append(got.where("a <> b").select("a", "b"))
         if k > shortest:
             enough = got.where("a = b").groupBy(F.col("a").alias("h1")).agg(F.sum("there").alias("there"), F.sum("found").alias("found")).where(F.col("found") >= recall * F.col("there")).select("h1")
-            done = cut((enough if done is None else enough.unionByName(done.select("h1"))).distinct().withColumn("done", F.lit(True)))
+            done = cut(gathered((enough if done is None else enough.unionByName(done.select("h1"))).distinct().withColumn("done", F.lit(True)), n, PART_ROWS))
     out = ties[0]
     for t in ties[1:]:
         out = out.unionByName(t)
@@ -231,7 +235,7 @@ def connected(edges: DataFrame) -> DataFrame:
     until nothing changes: about log of the longest path rounds. A node's minimum is an aggregate with partial sums,
     and the join that follows is one that Spark splits at hot nodes. Each round is checkpointed.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), edges.count(), PART_ROWS))
 
     def sums(x):
         return x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -243,13 +247,13 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        e = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        e = cut(gathered(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), last[0], PART_ROWS))
         now = sums(e)
         if now == last:
             break
         last = now
     labels = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return cut(labels.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()))
+    return cut(gathered(labels.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), last[0], PART_ROWS))
 
 
 def links_within(sets: list, copies, other: int, threshold: float = THRESHOLD):
@@ -333,7 +337,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal texts are one node with a count, so copies are never compared, whatever their ids. The LSH forest ties texts
     that share a prefix and whose sketches are alike; texts that ties connect are a candidate group, within which all
-    pairs are compared exactly, by products of 0/1 matrices in tasks of two blocks at most (of 512 texts and 16 MB): pairs
+    pairs are compared exactly, by products of 0/1 matrices in tasks of two blocks at most (of 512 texts and 8 MB): pairs
     are counted, not made into rows. A pair is missed only if no path of ties brings it into one group.
     """
     spark = docs.sparkSession
@@ -354,21 +358,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = spark.read.parquet(at)
     # Copies are one row from here on, dropped before the exchange.
     at = fresh_path(spark, "near-dup-texts")
-    signed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")).write.parquet(at)
+    once = signed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("bytes").alias("bytes"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+    gathered(once, signed.count(), PART_TEXTS).write.parquet(at)
     texts = spark.read.parquet(at)
     copies = texts.drop("labels", "sketch")
     groups = connected(forest(texts.select("h1", "labels", "sketch"), trees, depth, threshold, recall))
     nodes = groups.withColumnRenamed("node", "h1").join(copies, "h1")
     sizes = nodes.groupBy("label").agg(F.greatest(F.count("*") / block, F.sum("bytes") / BLOCK_BYTES).alias("size"))
     nodes = nodes.join(sizes, "label").withColumn("blocks", F.ceil("size").cast("int"))
-    nodes = cut(nodes.withColumn("mine", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")).drop("size", "bytes"))
+    nodes = cut(gathered(nodes.withColumn("mine", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int")).drop("size"), groups.count(), PART_ROWS))
+    moved = int(nodes.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0)
     # One row of each candidate text, since ids may repeat or be null; then one for each pair of blocks that the text is in.
     chosen = base.join(nodes, (base.h1 == nodes.h1) & (base.h2 == nodes.h2) & base.doc_id.eqNullSafe(nodes.least)).select(nodes.h1, nodes.h2, "label", "blocks", "mine", "n", "text")
     chosen = chosen.groupBy("h1", "h2", "label", "blocks", "mine", "n").agg(F.first("text").alias("text"))
     pairs = chosen.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "h1", "h2", "n", "text", "label", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), (F.col("mine") > F.col("with")).cast("int").alias("side")
     )
-    found = cut(pairs.groupBy("label", "x", "y").applyInArrow(lambda t: compare(t, words, threshold), "h1 bigint, h2 bigint, links bigint, other bigint"))
+    found = cut(gathered(pairs.groupBy("label", "x", "y").applyInArrow(lambda t: compare(t, words, threshold), "h1 bigint, h2 bigint, links bigint, other bigint"), moved, BLOCK_BYTES // 4))
     links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     classes = connected(found.select(F.col("h1").alias("a"), F.col("other").alias("b")))
     whole = copies.join(links, ["h1", "h2"], "left").join(classes.select(F.col("node").alias("h1"), "label"), "h1", "left")
@@ -386,11 +392,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """One row of each class of near_duplicates, the one with the least doc_id; of rows that are equal in it and the text, one."""
     box, h1, h2 = (unused(docs, x) for x in ("document_", "h1_", "h2_"))
     found = near_duplicates(docs, doc_id, text, **options)
-    heads = found.where("first AND doc_id <=> class_id").select(F.col("class_id").alias("id_"), F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct()
+    heads = cut(found.where("first AND doc_id <=> class_id").select(F.col("class_id").alias("id_"), F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct())
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(box), F.xxhash64(t).alias(h1), F.xxhash64(F.lit(7), t).alias(h2), F.col(f"`{doc_id}`").alias("key_"))
     kept = rows.join(heads, (rows[h1] == heads[h1]) & (rows[h2] == heads[h2]) & rows["key_"].eqNullSafe(heads["id_"])).select(rows[h1], rows[h2], "id_", box)
-    return kept.groupBy(h1, h2, "id_").agg(F.first(box).alias(box)).select(f"{box}.*")
+    return gathered(kept.groupBy(h1, h2, "id_").agg(F.first(box).alias(box)).select(f"{box}.*"), heads.count(), PART_TEXTS)
 
 
 def op8_near_dup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
