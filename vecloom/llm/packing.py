@@ -11,7 +11,7 @@ from vecloom.llm.tokens import encoder, tokenizer_path
 #: Bytes of texts whose ids one task packs. Ids take about as many bytes, four times as many at most.
 GROUP_BYTES = 8 << 20
 #: Chunks of a generation that the encoder remembers here, less than where nothing but ids is made.
-REMEMBERED = 200_000
+REMEMBERED = 320_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
