@@ -348,3 +348,53 @@ def test_training_as_by_hand(spark, blobs):
     assert [lists[i][1] for i in range(len(v))] == code.tolist()
     one = ((r - np.take_along_axis(words[None], code[:, :, None, None], 2)[:, :, 0]) ** 2).sum()
     assert one < 0.5 * (r**2).sum()
+
+
+def recall(got, want):
+    return len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) / len(want)
+
+
+def naive_levels(lists, centroids, book, fine, v):
+    """The vector that each list row's codes stand for."""
+    words = {name: {(r["m"], r["k"]): list(r["w"]) for r in b.collect()} for name, b in (("code", book), ("fine", fine))}
+    c = {r["cid"]: list(r["c"]) for r in centroids.collect()}
+    return {r["id"]: np.array(c[r["cid"]]) + sum(np.concatenate([words[n][m, k] for m, k in enumerate(r[n])]) for n in words) for r in lists.collect()}
+
+
+@pytest.mark.parametrize("spec, metric", [("IVF8,PQ2x4+8", "l2"), ("PQ2x4+4", "l2"), ("IVF8,PQ4x4+8", "ip")])
+def test_second_level_as_by_hand(spark, tmp_path, units, spec, metric):
+    """Saved, loaded and searched: with all candidates the best by both levels, and more of the true ones than by the first alone."""
+    v, q = units
+    build(floats(spark, v), spec, metric).save(str(tmp_path / "i"))
+    ix = Index.load(spark, str(tmp_path / "i"))
+    stands = naive_levels(ix.lists, ix.centroids, ix.codebook, ix.fine, v)
+    every = np.stack([stands[i] for i in range(len(v))])
+    got = rows(ix.search(floats(spark, q, "qid"), SearchParams(10, 8, -(-len(v) // 10))))
+    want = brute_floats(every, q, 10, metric)
+    assert [(a, round(d, 7)) for a, _, _, d in got] == [(a, round(d, 7)) for a, _, _, d in sorted(want)]
+    truth = brute_floats(v, q, 10, metric)
+    plain = rows(build(floats(spark, v), spec.split("+")[0], metric).search(floats(spark, q, "qid"), SearchParams(10, 8)))
+    assert recall(rows(ix.search(floats(spark, q, "qid"), SearchParams(10, 8, 4))), truth) > recall(plain, truth)
+
+
+def test_projection_keeps_near_ones(spark, tmp_path):
+    """Vectors of 3 axes in 16 dimensions, with little besides: their projections have the same neighbours."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 16)) * 10 + 5 + rng.normal(size=(1500, 16)) * 1e-4
+    q = v[:20] + 0.01
+    build(floats(spark, v), "PCA3,Flat").save(str(tmp_path / "i"))
+    ix = Index.load(spark, str(tmp_path / "i"))
+    got = rows(ix.search(floats(spark, q, "qid"), "k=10"))
+    assert recall(got, brute_floats(v, q, 10)) >= 0.98
+    ids = {(a, r): i for a, r, i, _ in got}
+    assert all(ids[i, 1] == i for i in range(20))
+    whole = build(floats(spark, v), "PCA3,IVF8,PQ3x6+3")
+    assert recall(rows(whole.search(floats(spark, q, "qid"), "k=10,nprobe=8,factor=20")), brute_floats(v, q, 10)) >= 0.5
+    with pytest.raises(ValueError, match="no 17 axes"):
+        build(floats(spark, v), "PCA17,Flat")
+
+
+def test_second_level_of_nothing(spark):
+    empty = spark.createDataFrame([], "qid bigint, v array<int>")
+    ix = rule_index(frame(spark, np.random.default_rng(3).integers(0, 9, (60, 8))), 4, 2, 4, 4)
+    assert ix.search(empty, "k=3,nprobe=2").count() == 0

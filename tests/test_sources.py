@@ -92,3 +92,54 @@ def test_paths_take_the_default_file_system(spark, tmp_path):
     from vecloom.sources.vecs import qualified
 
     assert qualified(spark, str(tmp_path / "x")) == f"file://{tmp_path}/x"
+
+
+@pytest.mark.parametrize("kind, element, values", [("fbin", "float", [[0.5, -1.0], [2.0, 3.0], [4.0, 5.5]]), ("ibin", "int", [[1, -2], [3, 2**31 - 1], [5, 6]]), ("i8bin", "tinyint", [[-128, 127], [0, 1], [2, 3]])])
+def test_write_with_header(spark, tmp_path, kind, element, values):
+    """Files have their own header; tasks without rows leave none; an append comes after."""
+    at = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v array<{element}>").repartitionByRange(8, "i")
+    write_vecs(df, at, kind)
+    write_vecs(df.coalesce(1), at, kind)
+    got = [v for _, v in rows(read_vecs(spark, at, kind))]
+    assert sorted(got[:3]) == sorted(values) and sorted(got[3:]) == sorted(values)
+    assert {x.name.split(".")[-1] for x in (tmp_path / "out").iterdir() if x.name[0] not in "._"} == {kind}
+    assert not [x for x in (tmp_path / "out").iterdir() if x.name[0] == "_"]
+    one = next(x for x in (tmp_path / "out").iterdir() if x.name.startswith("part"))
+    n, d = struct.unpack("<ii", one.read_bytes()[:8])
+    assert d == 2 and len(one.read_bytes()) == 8 + n * d * np.dtype({"float": "f4", "int": "i4", "tinyint": "i1"}[element]).itemsize
+
+
+def test_write_truth(spark, tmp_path):
+    df = spark.createDataFrame([([7, 8], [0.5, 1.0]), ([9, 1], [2.0, 3.0])], "ids array<int>, dists array<float>").coalesce(1)
+    write_vecs(df, str(tmp_path / "t"), "truth")
+    got = [(r["id"], list(r["ids"]), list(r["dists"])) for r in read_vecs(spark, str(tmp_path / "t"), "truth").orderBy("id").collect()]
+    assert got == [(0, [7, 8], [0.5, 1.0]), (1, [9, 1], [2.0, 3.0])]
+
+
+@pytest.mark.parametrize("kind, value", [("bvecs", 256), ("bvecs", -1), ("i8bin", 128), ("ivecs", 2**31)])
+def test_elements_that_a_kind_cannot_hold(spark, tmp_path, kind, value):
+    with pytest.raises(Exception, match="can't hold"):
+        write_vecs(spark.createDataFrame([([1, value],)], "v array<bigint>"), str(tmp_path / "x"), kind)
+
+
+def test_cluster_lines_through_files(spark, tmp_path):
+    lines = [(c, j, s, (s + j) % 8, 31 * c + s) for c in (0, 3) for j in range(3) for s in range(4)]
+    logs.write_cluster_lines(spark.createDataFrame(lines, "cid bigint, line bigint, slot int, m int, k int").repartition(5), str(tmp_path / "l"))
+    assert sorted(tuple(r) for r in logs.cluster_lines(spark, str(tmp_path / "l")).collect()) == lines
+
+
+def test_replay(spark, tmp_path):
+    """Lists of some units only, one longer than what is replayed, a query without any; rows of large files are numbered over all parts."""
+    found = [(0, 0, 5, 9), (0, 0, 6, 3), (0, 2, 1, 4), (2, 0, 8, 7), (2, 0, 9, 7), (2, 0, 4, 1)]
+    logs.dump_lists(spark.createDataFrame(found, "qid bigint, unit bigint, id bigint, dist bigint"), 3, 4, str(tmp_path / "d"))
+    got = logs.replay_lists(spark, str(tmp_path / "d"), 2).collect()
+    assert sorted((r["qid"], r["unit"], r["id"], r["dist"]) for r in got) == [(0, 0, 5, 9), (0, 0, 6, 3), (0, 2, 1, 4), (2, 0, 4, 1), (2, 0, 8, 7)]
+    assert (next((tmp_path / "d" / "lists").glob("part*.txt"))).read_text().splitlines() == ["3 6 9 5 -1 -1 1 4 7 8 7 9 -1 -1", "", "4 1 -1 -1", ""]
+    (tmp_path / "m").write_text("".join(f"{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        m = logs.matrix_rows(spark, str(tmp_path / "m"))
+        assert m.rdd.getNumPartitions() > 1 and m.where("row = x").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

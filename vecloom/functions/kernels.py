@@ -87,6 +87,14 @@ def encode(r, codebook):
     return np.stack([smallest(l2(r[:, i * dsub : (i + 1) * dsub], codebook[i]), 1)[0][:, 0] for i in range(m)], 1)
 
 
+def decode(code, codebook):
+    """The vectors (n, d) that codes (n, m) stand for: the words of their parts side by side."""
+    import numpy as np
+
+    m, _, dsub = codebook.shape
+    return codebook[np.arange(m), code].reshape(len(code), m * dsub)
+
+
 def lut(r, codebook, metric: str = "l2"):
     """(n, m * ksub) table of part distances, or part products for metric ip."""
     import numpy as np

@@ -46,6 +46,28 @@ def encode(df: DataFrame, codebook: DataFrame, r: str = "r", out: str = "code")
     return df.select(*names).mapInArrow(run, schema)
 
 
+def remainders(df: DataFrame, codebook: DataFrame, r: str = "r", code: str = "code", out: str = "rest") -> DataFrame:
+    """df with what its codes leave over of column r: r less the words of its code. One pass, no shuffle."""
+    kind = V.kind_of((df, r), (codebook, "w"))
+    shared = df.sparkSession.sparkContext.broadcast(load_codebook(codebook))
+    names = [c for c in df.columns if c != out]
+    at, by = names.index(r), names.index(code)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != out) + f", {out} array<{kind}>"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x = kernels.matrix(b.column(at)) - kernels.decode(kernels.matrix(b.column(by), "int64"), shared.value)
+                x = x.astype(np.int64) if kind == "bigint" else x
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, out])
+
+    return df.select(*names).mapInArrow(run, schema)
+
+
 def quantize_codebook(codebook: DataFrame, scale: float = 1.0) -> DataFrame:
     """Words as numbers of eight bits: scaled, truncated toward zero, clamped."""
     return codebook.withColumn("w", V.clamp_int8(V.quantize(F.col("w"), scale)))

@@ -257,6 +257,33 @@ def ivf_join(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int,
     return top_k(found, k, metric == "ip")
 
 
+def rescore(found: DataFrame, lists: DataFrame, queries: DataFrame, centroids: DataFrame, codebook: DataFrame, fine: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """Candidates (qid, id) ranked by both levels of their codes: (qid, rank, id, dist).
+
+    lists (cid, id, code, fine). A candidate's vector is its centroid, the words of its code and those of its fine code
+    in sum; dist is its distance from the query (ip: product). Candidates meet their codes in a join on id, of which
+    Spark broadcasts the candidates if they are few; centroids and codebooks are broadcast, their bytes checked.
+    """
+    spark, kind = lists.sparkSession, V.kind_of((queries, "v"), (centroids, "c"), (codebook, "w"), (fine, "w"))
+    shared = spark.sparkContext.broadcast((*load_centroids(centroids), load_codebook(codebook), load_codebook(fine)))
+    rows = lists.select(F.col("cid").cast("bigint").alias("cid"), "id", "code", "fine").join(found.select("qid", "id"), "id").join(queries.select("qid", "v"), "qid")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cids, c, book, more = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = c[np.searchsorted(cids, b.column(2).to_numpy())] + kernels.decode(kernels.matrix(b.column(3), "int64"), book) + kernels.decode(kernels.matrix(b.column(4), "int64"), more)
+                d = kernels.scores(kernels.matrix(b.column(5)), x, metric)
+                d = d if metric == "l2" else -d
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.rint(d).astype(np.int64) if kind == "bigint" else d)], ["qid", "id", "dist"])
+
+    scored = rows.select(F.col("qid").cast("bigint").alias("qid"), "id", "cid", "code", "fine", "v").mapInArrow(run, f"qid bigint, id bigint, dist {kind}")
+    return top_k(scored, k, metric == "ip")
+
+
 def adc_scan(codes: DataFrame, probes: DataFrame, codebook: DataFrame, m: int, ksub: int, clip: int | None = None) -> DataFrame:
     """All candidates as DataFrame operations: probes (qid, cid, r) with tables, joined with codes (cid, id, code) on cid.
 

@@ -12,13 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as V
-from vecloom.operators import coarse, cooc, evaluate, placement, pq, search
-from vecloom.params import IndexSpec, SearchParams
+from vecloom.operators import coarse, cooc, evaluate, placement, pq, project, search
+from vecloom.params import IndexSpec, SearchParams, parse_index, parse_search
 from vecloom.plans.index import Index, add, build, refined, rule_index
 from vecloom.session import scratch, stored
 from vecloom.sources import logs, vecs
 
-NLIST, M, DSUB, KSUB, NPROBE, K, UNITS = 16, 8, 8, 16, 4, 10, 8
+NLIST, M, DSUB, KSUB, NPROBE, K, UNITS, FINE = 16, 8, 8, 16, 4, 10, 8, 16
+SPECS = ("Flat", "PQ32", "PQ16x4", "IVF4096,Flat", "IVF4096,PQ16", "IVF4096,PQ32", "IVF4096,PQ8+16", "PCA80,Flat", "PCA32,IVF64,PQ8x6+16")
+SEARCHES = ("", "nprobe=32", "k=100, nprobe=8", "factor=2,k=5")
 
 # --- Shared plans ------------------------------------------------------------------------------------------------
 
@@ -320,6 +322,87 @@ def vec_scan(p: Plan):
     return _long(vecs.read_vecs(p.spark, at, "fvecs"), ["id"], "v", "d", "x")
 
 
+def _through(p: Plan, kind: str, to: str, change=lambda x: x):
+    """The base written as a file of `kind`, its elements changed and cast, and read back."""
+    at = scratch(p.spark, kind)
+    vecs.write_vecs(p.base.orderBy("id").select(F.transform("v", lambda x: change(x).cast(to)).alias("v")), at, kind)
+    return _long(vecs.read_vecs(p.spark, at, kind), ["id"], "v", "d", "x")
+
+
+def ivecs_scan(p: Plan):
+    return _through(p, "ivecs", "int")
+
+
+def bvecs_scan(p: Plan):
+    """Absolute values, since bytes have no sign."""
+    return _through(p, "bvecs", "smallint", F.abs)
+
+
+def fbin_scan(p: Plan):
+    return _through(p, "fbin", "float")
+
+
+def ibin_scan(p: Plan):
+    return _through(p, "ibin", "int")
+
+
+def i8bin_scan(p: Plan):
+    return _through(p, "i8bin", "tinyint")
+
+
+def truth_scan(p: Plan):
+    """The exact search's best lists written as a truth file and read back: id is the query's number in the file."""
+    at = scratch(p.spark, "truth")
+    best = search.flat_knn(p.base, p.queries, K).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "dist"))).alias("b"))
+    lists = [F.transform("b", lambda x: x["id"].cast("int")).alias("ids"), F.transform("b", lambda x: x["dist"].cast("float")).alias("dists")]
+    vecs.write_vecs(best.orderBy("qid").select(*lists), at, "truth")
+    back = vecs.read_vecs(p.spark, at, "truth").select("id", F.posexplode(F.arrays_zip("ids", "dists")).alias("rank", "b"))
+    return back.select("id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("b.ids").cast("bigint").alias("neighbor"), F.col("b.dists").cast("bigint").alias("dist"))
+
+
+def cluster_lines_scan(p: Plan):
+    """Lines written as text, a file for each cluster, and read back."""
+    at = scratch(p.spark, "lines")
+    logs.write_cluster_lines(p.lines(), at)
+    return logs.cluster_lines(p.spark, at).select(*(F.col(c).cast("bigint").alias(c) for c in ("cid", "line", "slot", "m", "k")))
+
+
+def replay_merge(p: Plan):
+    """Best lists of each unit (id mod UNITS) dumped as matrices, read back and merged: the same rows as the search."""
+    best = W.partitionBy("qid", "unit").orderBy("dist", "id")
+    found = adc_scan(p).withColumn("unit", F.col("id") % UNITS).withColumn("n", F.row_number().over(best)).where(F.col("n") <= K)
+    at = scratch(p.spark, "dump")
+    logs.dump_lists(found.select(F.expr("qid div 20").alias("qid"), "unit", "id", "dist"), p.queries.count(), UNITS, at)
+    back = logs.replay_lists(p.spark, at, K)
+    return search.top_k(back.select((F.col("qid") * 20).alias("qid"), "id", "dist"), K)
+
+
+def ivfpqr_search(p: Plan):
+    """A second level of codes: 40 candidates a query by the first, ranked by both."""
+    return rule_index(p.base, NLIST, M, KSUB, FINE).search(p.queries, SearchParams(K, NPROBE, 4))
+
+
+def ivfpqr_float(p: Plan):
+    return _six(ivfpqr_search(p))
+
+
+def projected_knn(p: Plan):
+    """Exact search of projections on 16 axes by rule: the vectors with ids 16 to 31; vector 0 stands for the mean."""
+    rows = p.base.where("id = 0 OR id BETWEEN 16 AND 31").select(F.when(F.col("id") == 0, project.MEAN).otherwise(F.col("id") - 16).cast("int").alias("axis"), F.col("v").alias("w"))
+    return add(p.base, IndexSpec(axes=16), None, None, axes=rows).search(p.queries, SearchParams(K)).withColumn("dist", F.col("dist").cast("bigint"))
+
+
+def index_specs(p: Plan):
+    """What index specifications say."""
+    each = [(s, parse_index(s)) for s in SPECS]
+    return p.spark.createDataFrame([(s, i.nlist, i.m, i.nbits, i.fine, i.axes, i.precomputed_terms) for s, i in each], "spec string, nlist bigint, m bigint, nbits bigint, fine bigint, axes bigint, terms bigint")
+
+
+def search_params(p: Plan):
+    """What search parameters say; names that aren't given have their usual values."""
+    return p.spark.createDataFrame([(s, x.k, x.nprobe, x.factor) for s, x in ((s, parse_search(s)) for s in SEARCHES)], "params string, k bigint, nprobe bigint, factor bigint")
+
+
 def log_scan(p: Plan):
     """Unit loads written as a run log and read back."""
     at = scratch(p.spark, "log")
@@ -448,9 +531,10 @@ _ALL = (
     flat_knn, flat_knn_ip, query_slice, coarse_assign, coarse_probe, residual, residual_int8, centroid_distances, centroid_neighbors, lloyd_step, pq_encode, code_address, codebook_quant,
     codebook_minmax, lut_l2, lut_ip, adc_scan, adc_scan_uint16, ivfpq_search, ivfpq_plan, ivfpq_ip, ivf_flat, pq_flat, topk_merge, segment_union_topk, cluster_sizes, probe_frequency,
     cluster_work, average_work, cluster_rank, replica_route, unit_offsets, unit_load, placement_balance, placement_greedy, placement_check, recall_at, operating_points, cooc_pairs,
-    cooc_encode, cooc_lut, cooc_scan, cooc_hit_rate, ivf_join, load_sorted, slices, slice_load, mine_lines, sweep, unit_sweep, index_scan, index_search_saved, vec_scan, log_scan, log_argmax, kmeans_train, pq_train, trained_recall,
+    cooc_encode, cooc_lut, cooc_scan, cooc_hit_rate, ivf_join, load_sorted, slices, slice_load, mine_lines, sweep, unit_sweep, index_scan, index_search_saved, vec_scan, ivecs_scan, bvecs_scan, fbin_scan, ibin_scan, i8bin_scan,
+    truth_scan, cluster_lines_scan, replay_merge, ivfpqr_search, projected_knn, index_specs, search_params, log_scan, log_argmax, kmeans_train, pq_train, trained_recall,
 )
-_FLOAT = (flat_knn_float, flat_ip_float, ivf_flat_float, ivf_all_probes_float, ivfpq_float, ivfpq_plan_float, refined_float, ivf_join_float)
+_FLOAT = (flat_knn_float, flat_ip_float, ivf_flat_float, ivf_all_probes_float, ivfpq_float, ivfpq_plan_float, refined_float, ivf_join_float, ivfpqr_float)
 QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Plan(spark, sf_dir))) for f in _ALL} | {"lineitem_search": lineitem_search}
 QUERIES |= {f.__name__: (lambda spark, sf_dir, f=f: f(Plan(spark, sf_dir, True))) for f in _FLOAT}
 
@@ -472,6 +556,11 @@ _CTE = {
     "lutip": "SELECT e.id AS qid, cb.m, cb.k, CAST(SUM(e.x * w) AS BIGINT) AS l FROM e JOIN cb ON e.d // 8 = cb.m AND e.d % 8 = cb.j WHERE e.id % 20 = 0 GROUP BY 1, 2, 3",
     "adc": "SELECT lut.qid, code.id, CAST(SUM(l) AS BIGINT) AS dist FROM asg JOIN code USING (id) JOIN lut ON lut.cid = asg.cid AND lut.m = code.m AND lut.k = code.k GROUP BY 1, 2",
     "flat": "SELECT q.id AS qid, b.id, CAST(SUM((q.x - b.x) * (q.x - b.x)) AS BIGINT) AS dist FROM e q JOIN e b ON q.d = b.d WHERE q.id % 20 = 0 GROUP BY 1, 2",
+    "rem": "SELECT res.id, res.d, res.r - cb.w AS x FROM res JOIN code ON code.id = res.id AND code.m = res.d // 8 JOIN cb ON cb.m = code.m AND cb.k = code.k AND cb.j = res.d % 8",
+    "fb": "SELECT d // 4 AS m, id - 32 AS k, d % 4 AS j, x AS w FROM rem WHERE id >= 32 AND id < 48",
+    "fd": "SELECT rem.id, fb.m, fb.k, SUM((x - w) * (x - w)) AS dist FROM rem JOIN fb ON rem.d // 4 = fb.m AND rem.d % 4 = fb.j GROUP BY 1, 2, 3",
+    "fc": "SELECT id, m, k FROM (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY dist, k) AS n FROM fd) WHERE n = 1",
+    "rec": "SELECT rem.id, rem.d, e.x - rem.x + fb.w AS x FROM rem JOIN e ON e.id = rem.id AND e.d = rem.d JOIN fc ON fc.id = rem.id AND fc.m = rem.d // 4 JOIN fb ON fb.m = fc.m AND fb.k = fc.k AND fb.j = rem.d % 4",
     "sz": "SELECT cid, COUNT(*) AS n_points FROM asg GROUP BY 1",
     "fq": "SELECT cid, COUNT(*) AS freq FROM pr GROUP BY 1",
     "wk": "SELECT cid, COALESCE(n_points, 0) AS n_points, COALESCE(freq, 0) AS freq, COALESCE(n_points, 0) * COALESCE(freq, 0) AS work FROM sz FULL JOIN fq USING (cid)",
@@ -490,6 +579,9 @@ def _top(source: str, order: str = "dist, id") -> str:
     return f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM {source}) WHERE rank <= 10"
 
 
+#: Distances from what both levels of codes stand for, of the 40 best by the first.
+_TWO_LEVELS = "(SELECT c.qid, c.id, {0} AS dist FROM (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {1}, id) AS n FROM adc) WHERE n <= 40) c JOIN e ON e.id = c.qid JOIN rec ON rec.id = c.id AND rec.d = e.d GROUP BY 1, 2)"
+
 _SQL = {
     "flat_knn": _top("flat"),
     "flat_knn_ip": _top("(SELECT q.id AS qid, b.id, CAST(SUM(q.x * b.x) AS BIGINT) AS dist FROM e q JOIN e b ON q.d = b.d WHERE q.id % 20 = 0 GROUP BY 1, 2)", "dist DESC, id"),
@@ -542,6 +634,18 @@ _SQL = {
     "index_scan": "SELECT asg.cid, code.id, m, k FROM code JOIN asg USING (id)",
     "index_search_saved": _top("adc"),
     "vec_scan": "SELECT id, d, x FROM e",
+    "ivecs_scan": "SELECT id, d, x FROM e",
+    "bvecs_scan": "SELECT id, d, abs(x) AS x FROM e",
+    "fbin_scan": "SELECT id, d, x FROM e",
+    "ibin_scan": "SELECT id, d, x FROM e",
+    "i8bin_scan": "SELECT id, d, x FROM e",
+    "truth_scan": "SELECT qid // 20 AS id, rank, id AS neighbor, dist FROM (" + _top("flat") + ")",
+    "cluster_lines_scan": "SELECT cid, line, slot, m, k FROM ln",
+    "replay_merge": _top("adc"),
+    "ivfpqr_search": _top(_TWO_LEVELS.format("CAST(SUM((e.x - rec.x) * (e.x - rec.x)) AS BIGINT)", "dist")),
+    "projected_knn": "WITH pj AS (SELECT e.id, a.id AS i, CAST(SUM((e.x - o.x) * a.x) AS BIGINT) AS x FROM e JOIN e o ON o.d = e.d AND o.id = 0 JOIN e a ON a.d = e.d AND a.id BETWEEN 16 AND 31 GROUP BY 1, 2), pd AS (SELECT q.id AS qid, b.id, CAST(SUM((q.x - b.x) * (q.x - b.x)) AS BIGINT) AS dist FROM pj q JOIN pj b ON b.i = q.i WHERE q.id % 20 = 0 GROUP BY 1, 2) " + _top("pd"),
+    "index_specs": "SELECT spec, nlist, m, nbits, fine, axes, nlist * m * (CAST(1 AS BIGINT) << nbits) AS terms FROM (SELECT spec, " + ", ".join(f"CAST(COALESCE(NULLIF(regexp_extract(spec, '{x}', 1), ''), '{y}') AS BIGINT) AS {c}" for c, x, y in (("nlist", r"IVF(\d+)", 0), ("m", r"PQ(\d+)", 0), ("nbits", r"PQ\d+x(\d+)", 8), ("fine", r"\+(\d+)", 0), ("axes", r"PCA(\d+)", 0))) + f" FROM (SELECT unnest({list(SPECS)}) AS spec))",
+    "search_params": "SELECT params, " + ", ".join(f"CAST(COALESCE(NULLIF(regexp_extract(params, '\\b{c}=(\\d+)', 1), ''), '{y}') AS BIGINT) AS {c}" for c, y in (("k", 10), ("nprobe", 1), ("factor", 4))) + f" FROM (SELECT unnest({list(SEARCHES)}) AS params)",
     "log_scan": "SELECT CAST(unit AS BIGINT) AS unit, n_rows AS n FROM ul",
     "log_argmax": "SELECT unnest(['rows', 'probes']) AS name, unnest([n_rows, n_probes]) AS n FROM (SELECT * FROM ul ORDER BY n_rows DESC, unit LIMIT 1)",
 }
@@ -575,6 +679,7 @@ _FLOAT_SQL = {
     "ivfpq_float": _top_float("adc"),
     "ivfpq_plan_float": _top_float("adc"),
     "ivf_join_float": _top_float("adc"),
+    "ivfpqr_float": _top_float(_TWO_LEVELS.format("SUM((e.x - rec.x) * (e.x - rec.x))", "round(dist, 9)")),
     "refined_float": _top_float("(SELECT flat.* FROM flat JOIN (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), id) AS n FROM adc) WHERE n <= 50) c USING (qid, id))"),
 }
 

@@ -40,14 +40,86 @@ def _numbers(value: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(value), r"\s+"), lambda s: s != ""), lambda s: s.cast("bigint"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row, value): lines of one text file, numbered from 0 over all its parts. Only counts, one a part, are gathered."""
+    from pyspark.sql import Window as W
+
+    t = spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = t.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("first"))
+    return t.join(F.broadcast(first), "part").select((F.col("first") + F.col("at")).alias("row"), "value")
+
+
 def matrix_rows(spark: SparkSession, path: str) -> DataFrame:
     """A whitespace matrix as (row, pos, x), rows from 0 in order of the file. One file, one row of text per record."""
-    t = spark.read.text(path).withColumn("row", F.monotonically_increasing_id())
-    return t.select("row", F.posexplode(_numbers(F.col("value"))).alias("pos", "x"))
+    return _lines(spark, path).select("row", F.posexplode(_numbers(F.col("value"))).alias("pos", "x"))
+
+
+def cluster_lines(spark: SparkSession, path: str, cid: int | None = None) -> DataFrame:
+    """Lines of four packed items as (cid, line, slot, m, k); lines with another number of items or a repeated sub-quantiser are left out.
+
+    One file for cluster `cid`; without cid a folder with one in each of its folders cid=<number>. A file is a record:
+    it has as many lines as a cluster may, a parameter of mining.
+    """
+    t = spark.read.text(path, wholetext=True)
+    rows = F.transform(F.split("value", "\n"), _numbers)
+    good = F.filter(rows, lambda x: (F.size(x) == 4) & (F.size(F.array_distinct(F.transform(x, lambda y: F.shiftright(y, 8)))) == 4))
+    own = F.lit(cid) if cid is not None else F.col("cid")
+    each = t.select(own.cast("bigint").alias("cid"), F.posexplode(good).alias("line", "items")).select("cid", F.col("line").cast("bigint").alias("line"), F.posexplode("items").alias("slot", "x"))
+    return each.select("cid", "line", "slot", F.shiftright("x", 8).alias("m"), F.col("x").bitwiseAND(F.lit(255)).alias("k"))
+
+
+def write_cluster_lines(lines: DataFrame, path: str) -> None:
+    """lines (cid, line, slot, m, k) as text, a folder cid=<number> for each cluster, lines in order of their number."""
+    packed = F.shiftleft(F.col("m").cast("bigint"), 8).bitwiseOR(F.col("k").cast("bigint"))
+    text = lines.groupBy("cid", "line").agg(F.array_sort(F.collect_list(F.struct("slot", packed.alias("x")))).alias("items"))
+    text = text.select("cid", "line", F.array_join(F.transform("items", lambda i: i["x"].cast("string")), " ").alias("value"))
+    text.repartition("cid").sortWithinPartitions("cid", "line").select("cid", "value").write.partitionBy("cid").text(path)
+
+
+#: What ends a list in a dump, in place of a distance.
+END = -1
 
 
-def cluster_lines(spark: SparkSession, path: str, cid: int) -> DataFrame:
-    """Lines of four packed items as (cid, line, slot, m, k); lines with another number of items or a repeated sub-quantiser are left out."""
-    t = spark.read.text(path).withColumn("items", _numbers(F.col("value"))).withColumn("ms", F.transform("items", lambda x: F.shiftright(x, 8)))
-    good = t.where((F.size("items") == 4) & (F.size(F.array_distinct("ms")) == 4)).withColumn("line", F.monotonically_increasing_id())
-    return good.select(F.lit(cid).cast("bigint").alias("cid"), "line", F.posexplode("items").alias("slot", "x")).select("cid", "line", "slot", F.shiftright("x", 8).alias("m"), F.col("x").bitwiseAND(F.lit(255)).alias("k"))
+def dump_lists(found: DataFrame, queries: int, units: int, path: str) -> None:
+    """Best lists (qid, unit, id, dist) of a search, as three whitespace matrices to replay the merge from.
+
+    path/units: for each query, a flag for each unit that has a list for it; path/offsets: where that list begins;
+    path/lists: for each unit its lists one after the other, as pairs of distance and id, nearest first, each ended by a pair
+    of END. qid and unit count from 0 without gaps; distances are whole numbers. The format has a line for each unit, so
+    it is for looking into a search of some queries; stored() keeps lists of any size.
+    """
+    from pyspark.sql import Window as W
+
+    pair = lambda d, i: F.concat_ws(" ", d.cast("string"), i.cast("string"))
+    each = found.groupBy("qid", "unit").agg(F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("best"))
+    before = F.coalesce(F.sum(F.size("best") + 1).over(W.partitionBy("unit").orderBy("qid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("qid", "unit", before.alias("begin"), F.concat_ws(" ", F.transform("best", lambda x: pair(x["dist"], x["id"])), pair(F.lit(END), F.lit(END))).alias("value"))
+    spark = found.sparkSession
+
+    def rows(n: int, key: str, other: str, made, name: str) -> None:
+        of = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("at"), "begin", "value"))).alias("x"))
+        every = spark.range(n).withColumnRenamed("id", key).join(of, key, "left").withColumn("x", F.coalesce("x", F.array()))
+        every.select(key, made.alias("value")).coalesce(1).sortWithinPartitions(key).select("value").write.text(f"{path}/{name}")
+
+    def by_unit(value):
+        at = F.map_from_entries(F.transform("x", lambda y: F.struct(y["at"].cast("bigint"), value(y).cast("bigint"))))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(units - 1).cast("bigint")), lambda u: F.coalesce(F.try_element_at(at, u), F.lit(0)).cast("string")), " ")
+
+    rows(queries, "qid", "unit", by_unit(lambda y: F.lit(1)), "units")
+    rows(queries, "qid", "unit", by_unit(lambda y: y["begin"]), "offsets")
+    rows(units, "unit", "qid", F.array_join(F.transform("x", lambda y: y["value"]), " "), "lists")
+
+
+def replay_lists(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(qid, unit, id, dist) from the three matrices of dump_lists, `most` pairs of a list at most. Lists end before END."""
+    from pyspark.sql import Window as W
+
+    flags = matrix_rows(spark, f"{path}/units").where("x <> 0").select(F.col("row").alias("qid"), F.col("pos").alias("unit"))
+    begins = matrix_rows(spark, f"{path}/offsets").select(F.col("row").alias("qid"), F.col("pos").alias("unit"), F.col("x").alias("begin"))
+    numbers = _lines(spark, f"{path}/lists").select(F.col("row").alias("unit"), _numbers(F.col("value")).alias("x")).where(F.size("x") >= 2)
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(x) div 2 - 1")), lambda i: F.struct(F.get("x", 2 * i).alias("dist"), F.get("x", 2 * i + 1).alias("id")))
+    stored = numbers.select(F.col("unit").cast("int").alias("unit"), F.posexplode(pairs).alias("at", "p")).select("unit", F.col("at").cast("bigint").alias("at"), "p.dist", "p.id")
+    wanted = flags.join(begins, ["qid", "unit"]).select("qid", "unit", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pos"), "begin").withColumn("at", F.col("begin") + F.col("pos"))
+    met = wanted.join(stored, ["unit", "at"]).withColumn("end", F.min(F.when(F.col("dist") == END, F.col("pos"))).over(W.partitionBy("qid", "unit")))
+    return met.where("end IS NULL OR pos < end").select("qid", F.col("unit").cast("bigint").alias("unit"), "id", "dist")

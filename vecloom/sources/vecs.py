@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
+from contextlib import ExitStack
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,6 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 def layout(kind: str, path: str, size: int, head: bytes) -> tuple[int, int, int]:
     """(records, dimension, bytes before the first record); a file that doesn't add up is refused."""
-    import struct
-
     import numpy as np
 
     item, own = np.dtype(KINDS[kind][0]).itemsize, KINDS[kind][2]
@@ -136,16 +136,20 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Records with their own dimension, a file per task; ids aren't stored.
+    """A file per task, of any kind; ids aren't stored, record numbers are read as such.
 
     A task writes a hidden file; the commit gives the files of all tasks names that follow those in the folder, in the
-    tasks' order, so an append comes after what is there. An abort takes the hidden files away.
+    tasks' order, so an append comes after what is there. Kinds with a header get it when the task knows its count: the
+    values lie in a hidden file till then (truth: ids and distances in one each) and are copied after it, a block at a
+    time. An abort takes the hidden files away, and so does a commit with those of attempts that failed.
     """
 
+    COPIED = 8 << 20
+
     def __init__(self, options, overwrite: bool):
         self.kind, self.path, self.overwrite, self.job = options.get("kind", "fvecs"), options["path"], overwrite, uuid.uuid4().hex
-        if not KINDS.get(self.kind, (0, 0, False))[2]:
-            raise ValueError(f"kind {self.kind!r} can't be written")
+        if self.kind not in KINDS:
+            raise ValueError(f"kind {self.kind!r}: one of {', '.join(KINDS)}")
 
     def write(self, batches):
         import numpy as np
@@ -155,24 +159,42 @@ class Writer(DataSourceArrowWriter):
 
         f, p = _fs(self.path)
         f.create_dir(p)
-        kind, task, d = np.dtype(KINDS[self.kind][0]), TaskContext.get(), None
+        (kind, _, own), task, n, d = KINDS[self.kind], TaskContext.get(), 0, None
+        columns = {"ids": np.dtype("<i4"), "dists": np.dtype("<f4")} if self.kind == "truth" else {"v": np.dtype(kind)}
         file = f"{p}/_{self.job}-{task.taskAttemptId()}"
-        with f.open_output_stream(file) as h:
+        values = [file] if own else [f"{file}-{c}" for c in columns]
+        with ExitStack() as opened:
+            out = [opened.enter_context(f.open_output_stream(x)) for x in values]
             for b in batches:
                 if not b.num_rows:
                     continue
-                column = b.column(b.schema.get_field_index("v"))
-                if column.null_count or column.flatten().null_count:
-                    raise ValueError("vectors and their elements can't be null")
-                if len(sizes := set(np.diff(column.offsets.to_numpy()).tolist()) | ({d} if d else set())) > 1:
-                    raise ValueError(f"vectors have different dimensions: {sorted(sizes)[:2]}")
-                v = kernels.matrix(column, kind)
-                d = v.shape[1]
-                rows = np.empty((len(v), 4 + d * kind.itemsize), np.uint8)
-                rows[:, :4] = np.frombuffer(np.array([d], "<i4").tobytes(), np.uint8)
-                rows[:, 4:] = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1)
-                h.write(rows.tobytes())
-        return Written(task.partitionId(), file)
+                for h, (name, kind) in zip(out, columns.items()):
+                    column = b.column(b.schema.get_field_index(name))
+                    if column.null_count or column.flatten().null_count:
+                        raise ValueError("vectors and their elements can't be null")
+                    if len(sizes := set(np.diff(column.offsets.to_numpy()).tolist()) | ({d} if d else set())) > 1:
+                        raise ValueError(f"vectors have different dimensions: {sorted(sizes)[:2]}")
+                    v = kernels.matrix(column, kind)
+                    if kind.kind in "iu" and (v != kernels.matrix(column)).any():
+                        raise ValueError(f"{self.kind} can't hold all elements")
+                    d = v.shape[1]
+                    rows = np.empty((len(v), (4 if own else 0) + d * kind.itemsize), np.uint8)
+                    if own:
+                        rows[:, :4] = np.frombuffer(struct.pack("<i", d), np.uint8)
+                    rows[:, 4 if own else 0 :] = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1)
+                    h.write(rows.tobytes())
+                n += b.num_rows
+        if not own and n:
+            with f.open_output_stream(file) as h:
+                h.write(struct.pack("<ii", n, d))
+                for x in values:
+                    with f.open_input_stream(x) as v:
+                        while block := v.read(self.COPIED):
+                            h.write(block)
+        if not own:
+            for x in values:
+                f.delete_file(x)
+        return Written(task.partitionId(), file if own or n else "")
 
     def commit(self, messages) -> None:
         f, p = _fs(self.path)
@@ -182,8 +204,9 @@ class Writer(DataSourceArrowWriter):
                 f.delete_file(file)
             there = []
         batch = max((int(m[1]) for x in there if (m := re.search(r"/part-(\d+)-\d+\.\w+$", x))), default=-1) + 1
-        for m in sorted((m for m in messages if m), key=lambda m: m.task):
+        for m in sorted((m for m in messages if m and m.file), key=lambda m: m.task):
             f.move(m.file, f"{p}/part-{batch:05d}-{m.task:05d}.{self.kind}")
+        self.abort(messages)
 
     def abort(self, messages) -> None:
         from pyarrow import fs
@@ -223,6 +246,6 @@ def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs", start: int =
 
 
 def write_vecs(df: DataFrame, path: str, kind: str = "fvecs", mode: str = "append") -> None:
-    """df (v), in the order of its partitions. mode append: after the records that are there; overwrite: in their place."""
+    """df (v; truth: ids, dists), in the order of its partitions. mode append: after the records that are there; overwrite: in their place."""
     df.sparkSession.dataSource.register(Vecs)
-    df.select("v").write.format("vecs").option("kind", kind).mode(mode).save(qualified(df.sparkSession, path))
+    df.select(*(("ids", "dists") if kind == "truth" else ("v",))).write.format("vecs").option("kind", kind).mode(mode).save(qualified(df.sparkSession, path))
