@@ -102,6 +102,15 @@ def test_packed_ids_are_the_texts(odd):
     assert np.frombuffer(b"".join(r["ids"] for r in rows), "<u4").tolist() == [*ids(LONG), 1]
 
 
+def test_packing_does_not_depend_on_tasks(odd):
+    """Several groups in a task are packed one by one: the same rows whether it has one group or all; sequences stay in their group."""
+    made = packing.pieces(odd.selectExpr("doc_id", "coalesce(text, '') AS text"), tokenizer_path(), 64, 1)
+    some, one, many = (sorted(map(tuple, packing.pack(made, 5, 64, tasks=t).collect()), key=str) for t in (2, 1, 5))
+    assert some == one == many
+    groups = {r[-2] >> 40 for r in some}
+    assert groups <= set(range(5)) and len(groups) > 1
+
+
 def test_packed_sequences_hold_the_ids(odd, monkeypatch):
     """By default too, as op5 and the pipeline pack; in several groups by bytes; rows of a sequence in its order."""
     monkeypatch.setattr(packing, "GROUP_BYTES", 100_000)

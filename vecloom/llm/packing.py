@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from vecloom.llm.common import documents
 from vecloom.llm.tokens import encoder, tokenizer_path
 
-#: Bytes of texts whose ids one task packs. Ids take about as many bytes, four times as many at most.
+#: Bytes of texts whose ids are packed together. Ids take about as many bytes, four times as many at most.
 GROUP_BYTES = 8 << 20
+#: Groups that one task packs, one after the other: it holds one at a time, so tasks needn't be as many as groups.
+TASK_GROUPS = 64
+#: Groups whose sequences have numbers of their own; beyond (67 TB of text) groups grow.
+MOST_GROUPS = (1 << 23) - 1
 #: Chunks of a generation that the encoder remembers here, less than where nothing but ids is made.
 REMEMBERED = 320_000
 
@@ -119,38 +123,53 @@ def assign(lengths, capacity: int, linear: float, quadratic: float):
     return sequence, offset
 
 
-def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024, keep_ids: bool = True) -> DataFrame:
-    """pieces with ids_crc32, sequence_id and offset; each of `groups` hash groups is packed by one task.
+def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1 / 1024, keep_ids: bool = True, tasks: int | None = None) -> DataFrame:
+    """pieces with ids_crc32, sequence_id and offset; each of `groups` hash groups is packed by itself.
 
     Pieces are exchanged with their ids, so a task holds whole sequences; it gives the rows of a sequence one after
     the other, by offset. length and ids_crc32 are those of the ids that arrived there. With keep_ids false the ids
-    are left out at the end.
+    are left out at the end. A task gets several groups in order, TASK_GROUPS at most, and holds one at a time; fewer
+    where the cluster has room for more tasks. Their number changes nothing in the rows.
 
-    sequence_id is the task's number times 2^40 plus the sequence's number there. Rows are put in order first, so a
+    sequence_id is the group's number times 2^40 plus the sequence's number there. Rows are put in order first, so a
     task that runs again gives the same sequences. Pieces are spread by a hash of the whole row: one document's many
-    pieces go to many tasks. Rows equal in all columns (repeated null ids, say) stay together and are told apart only
+    pieces go to many groups. Rows equal in all columns (repeated null ids, say) stay together and are told apart only
     by their order.
     """
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
-    df = pieces.select(*names)
+    df = pieces.select(*names, F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int").alias("pack_group"))
     kind = df.schema["doc_id"].dataType.simpleString()
+    tasks = tasks or max(-(-groups // TASK_GROUPS), min(groups, 4 * df.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, of = [], None
+        for b in batches:
+            group = b.column(5).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if held and group[lo] != of:
+                    yield from packed(held, of)
+                    held = []
+                of = int(group[lo])
+                held.append(pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns[:5]], names))
+        if held:
+            yield from packed(held, of)
+
+    def packed(held, group):
         import zlib
 
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches).combine_chunks()
-        del batches
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         ids = table.column(4).chunk(0)
         ends = np.frombuffer(ids.buffers()[1], np.int32 if pa.types.is_binary(ids.type) else np.int64)[ids.offset : ids.offset + len(ids) + 1]
         seq, off = assign(np.diff(ends) // 4, capacity, linear, quadratic)
-        first, order = np.int64(TaskContext.get().partitionId()) << 40, np.lexsort((off, seq))
+        first, order = np.int64(group) << 40, np.lexsort((off, seq))
         for s in range(0, len(order), 1000):
             at = order[s : s + 1000]
             doc, start, _, doc_tokens, ids = table.take(pa.array(at)).combine_chunks().to_batches()[0].columns
@@ -160,9 +179,9 @@ def pack(pieces: DataFrame, groups: int, capacity: int = 2048, linear: float = 1
             columns |= ({"ids": ids} if keep_ids else {}) | {"sequence_id": pa.array(seq[at] + first), "offset": pa.array(off[at])}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    spread = df.repartition(groups, *names)
+    spread = df.repartitionById(tasks, F.col("pack_group") % tasks)
     kinds = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, " + "ids binary, " * keep_ids + "sequence_id bigint, offset bigint"
-    return spread.sortWithinPartitions(F.desc("length"), *names).mapInArrow(run, kinds)
+    return spread.sortWithinPartitions("pack_group", F.desc("length"), *names).mapInArrow(run, kinds)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -173,7 +192,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     """
     df = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     size = df.agg(F.sum(F.octet_length("text").cast("bigint") + 1)).first()[0] or 0
-    return pack(pieces(df, path, capacity, end_id), max(1, -(-size // GROUP_BYTES)), capacity, keep_ids=keep_ids)
+    return pack(pieces(df, path, capacity, end_id), max(1, min(MOST_GROUPS, -(-size // GROUP_BYTES))), capacity, keep_ids=keep_ids)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
