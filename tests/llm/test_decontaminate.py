@@ -110,3 +110,16 @@ def test_halved_parts_find_the_same(monkeypatch):
     want = find(index, texts)
     monkeypatch.setattr(d, "MOST_HITS", 500)
     assert find(index, texts) == want and sum(map(len, want)) > 8
+
+
+def test_places_do_not_depend_on_rows_aligned_at_once(monkeypatch):
+    """A long passage many times: aligned a few places at a time."""
+    from vecloom.llm import decontaminate
+
+    item = "".join(random.Random(4).choices("abcdefgh ", k=3000))
+    texts = [f"{i} lorem {item[:1500]}{'x' * (i % 3)}{item[1500:]} ipsum" for i in range(12)]
+    index = decontaminate.Index([(5, item)])
+    want = decontaminate.find(index, texts)
+    assert [len(w) for w in want] == [1] * 12 and [w[0][3] for w in want] == [i % 3 for i in range(12)]
+    monkeypatch.setattr(decontaminate, "ALIGNED", 5000)
+    assert decontaminate.find(index, texts) == want

@@ -28,6 +28,8 @@ PART = 1 << 18
 #: about; parts with more are halved.
 MOST_HITS = 1 << 21
 MOST_CELLS = 1 << 21
+#: Characters of text that are aligned with a passage at once: rows of its length and the band's.
+ALIGNED = 1 << 20
 
 HITS = "array<struct<item_id: bigint, start: bigint, end: bigint, edits: int>>"
 
@@ -216,8 +218,9 @@ def _find_part(index: Index, group: list, found: list[set]) -> None:
         pattern = index.items[k][1]
         w = int(width[k])
         mine = np.flatnonzero(pair % n == k)
-        for s in range(0, len(mine), 256):
-            some = mine[s : s + 256]
+        step = max(1, min(256, ALIGNED // (len(pattern) + 2 * w)))
+        for s in range(0, len(mine), step):
+            some = mine[s : s + step]
             rows = np.full((len(some), len(pattern) + 2 * w - 1), 0xFFFFFFFF, np.uint32)
             lows = band[some] * w - index.margin
             for r, (g, low) in enumerate(zip((pair[some] // n).tolist(), lows.tolist())):
