@@ -217,8 +217,13 @@ def ivf_join(lists: DataFrame, queries: DataFrame, centroids: DataFrame, k: int,
 
     Queries are probed where they are, and probes meet the rows of their cluster in one exchange by (cluster, part of the list, part
     of its probes). Clusters of more than LIST_ROWS rows or PROBE_ROWS probes have several parts, so a hot one spreads
-    over tasks and none holds more than a part of each. Only sizes, one row a cluster, reach the driver.
+    over tasks and none holds more than a part of each. Only sizes, one row a cluster, reach the driver. Flat lists are searched in
+    spatial parts (near.join) for metric l2: distances from their boxes rule out most meetings, so that far fewer rows are exchanged.
     """
+    if codebook is None and metric == "l2":
+        from vecloom.operators import near
+
+        return near.join(lists, queries, centroids, k, nprobe)
     spark, kind = lists.sparkSession, _kind(lists, queries, centroids, codebook)
     _, c = load_centroids(centroids)
     book = load_codebook(codebook) if codebook is not None else None

@@ -523,7 +523,7 @@ def lineitem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IVF-flat with 64 rule centroids and 8 probes over all lineitem rows; queries are the rows whose id is divisible by 20."""
     v = lineitem_vectors(spark, sf_dir)
     first = v.orderBy("id").limit(64)
-    starts = first.select((F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("cid"), F.col("v").alias("c"))
+    starts = stored(first.select((F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("cid"), F.col("v").alias("c")), "starts")
     return add(v, IndexSpec(64), starts, None).search(query_set(v), SearchParams(K, 8))
 
 
